@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hyperspark.llm import cooccur, knn, splits, tokenise, truncation
+from hyperspark.llm import cooccur, knn, language, mixing, reading, splits, subjects, tokenise, truncation
 from hyperspark.plans.runtime import table
 
 
@@ -36,6 +36,36 @@ def p2_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.damage_by_source(table(spark, sf_dir, "samples"), table(spark, sf_dir, "conversions"))
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversions, samples = table(spark, sf_dir, "conversions"), table(spark, sf_dir, "samples")
+    return conversions.select(F.col("conv_id").alias("record_id"), F.lit("conversions").alias("record_kind"), F.col("plain_text").alias("text"), F.col("lang_detected").alias("stated")).union(
+        samples.select("sample_id", F.lit("samples"), F.regexp_replace("query", "\n", " "), "lang")
+    )
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, names, code = language.language_names(table(spark, sf_dir, "languages"))
+    labelled = table(spark, sf_dir, "samples").select(F.col("query").alias("text"), "lang")
+    lines = table(spark, sf_dir, "conversions").select(F.explode(F.split("plain_text", "\n")).alias("line"))
+    return language.segments(_texts(spark, sf_dir), language.train_on(labelled, lines, names, len(codes), code), codes, names)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _segments(spark, sf_dir).where("doubtful")
+    enough = F.when(F.col("main_lang") == "LANG_CHINESE", F.col("text_chars") >= 14).otherwise(F.col("text_words") >= 6)
+    lines = found.where("record_kind = 'conversions'").select("record_kind", "record_id", "line_no", "lang_code")
+    samples = found.where("record_kind = 'samples'").where((F.col("lang_code") == F.col("main_lang")) & enough)
+    return lines.union(samples.select("record_kind", "record_id", "line_no", "lang_code")).distinct()
+
+
+def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segments(spark, sf_dir).drop("main_lang", "doubtful", "text_words", "text_chars").distinct()
+
+
+def p3_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.record_labels(_segments(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccur.pair_counts(table(spark, sf_dir, "samples"), min_together=6, min_lift=30.0).select("item_a", "item_b")
 
@@ -44,6 +74,25 @@ def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccur.pair_counts(table(spark, sf_dir, "samples"))
 
 
+def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subject_shares(table(spark, sf_dir, "conversions"), table(spark, sf_dir, "domains"), table(spark, sf_dir, "subject_labels"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shares(spark, sf_dir).where("n_words >= 30 and share >= 0.25").select("conv_id", "subject").distinct()
+
+
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shares(spark, sf_dir)
+
+
+def p5_makeup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of the corpus by subject."""
+    by = _shares(spark, sf_dir).groupBy("subject").agg(F.round(F.sum(F.col("share") * F.col("n_sentences"))).cast("long").alias("n_sentences"), F.count_if(F.col("share") >= 0.25).alias("n_documents"))
+    whole = by.agg(F.sum("n_sentences").alias("whole"))
+    return by.join(F.broadcast(whole)).select("subject", "n_documents", "n_sentences", F.round(F.col("n_sentences") / F.col("whole"), 6).alias("share"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = knn.nearest(table(spark, sf_dir, "nodes"), k=5, least=0.7)
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
@@ -57,4 +106,32 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_sources, p4_found, p4_pairs, p6_found, p6_nearest, p7_ids)}
+def _mixture(spark: SparkSession, sf_dir: str) -> mixing.Mixture:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).shares.where("not reachable").select("source")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).shares
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).documents
+
+
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_labels"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _levels(spark, sf_dir).select("doc_id", "reading_level")
+
+
+def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _levels(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_sources, p3_found, p3_segments, p3_labels, p4_found, p4_pairs, p5_found, p5_shares, p5_makeup, p6_found, p6_nearest, p7_ids, p8_found, p8_shares, p8_mix, p9_found, p9_levels)}

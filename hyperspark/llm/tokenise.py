@@ -284,17 +284,18 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, counts_only: bool) ->
                 value = pa.array(sizes, pa.int64())
             else:
                 value = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([key, value], ["key", "value"])
+            kept = [batch.column(i).slice(done - len(chunk), len(chunk)) for i in range(2, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([key, value, *kept], ["key", "value", *(f"kept{i}" for i in range(len(kept)))])
 
 
-def _run(df: DataFrame, id_column: str, text_column: str, name: str, vocabulary: str | None, counts_only: bool) -> DataFrame:
+def _run(df: DataFrame, id_column: str, text_column: str, name: str, vocabulary: str | None, counts_only: bool, keep: tuple[str, ...] = ()) -> DataFrame:
     ship(df.sparkSession)
     path = vocabulary or default_vocabulary()
-    kind = dict(df.dtypes)[id_column]
-    out = df.select(F.col(id_column).alias("key"), F.col(text_column).cast("string").alias("text")).mapInArrow(
-        lambda batches: _encoded(batches, path, counts_only), f"key {kind}, value {'bigint' if counts_only else 'array<int>'}"
-    )
-    return out.select(F.col("key").alias(id_column), F.col("value").alias(name))
+    kinds = dict(df.dtypes)
+    schema = f"key {kinds[id_column]}, value {'bigint' if counts_only else 'array<int>'}" + "".join(f", kept{i} {kinds[c]}" for i, c in enumerate(keep))
+    rows = df.select(F.col(id_column).alias("key"), F.col(text_column).cast("string").alias("text"), *[F.col(c).alias(f"kept{i}") for i, c in enumerate(keep)])
+    out = rows.mapInArrow(lambda batches: _encoded(batches, path, counts_only), schema)
+    return out.select(F.col("key").alias(id_column), F.col("value").alias(name), *[F.col(f"kept{i}").alias(c) for i, c in enumerate(keep)])
 
 
 def encode(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -305,9 +306,9 @@ def encode(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     return _run(df, id_column, text_column, "ids", vocabulary, False)
 
 
-def count_tokens(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """``(id, n_tokens)`` of every row of ``df``; 0 for null and empty texts."""
-    return _run(df, id_column, text_column, "n_tokens", vocabulary, True)
+def count_tokens(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, n_tokens, *keep)`` of every row of ``df``; 0 for null and empty texts."""
+    return _run(df, id_column, text_column, "n_tokens", vocabulary, True, keep)
 
 
 def decode(ids: list[int] | np.ndarray, vocabulary: str | None = None) -> str:
