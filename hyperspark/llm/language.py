@@ -107,23 +107,29 @@ class Field:
     at_break: np.ndarray
 
 
-def _forward_backward(scores: np.ndarray, breaks: np.ndarray, lengths: np.ndarray, field: Field, want_pairs: bool = False):
-    """Posteriors of a padded batch (sequences × time × labels), and expected transitions by kind if wanted."""
-    batch, time, labels = scores.shape
-    inner, outer = np.exp(field.within), np.exp(field.at_break)
-    emitted = np.exp(scores - scores.max(2, keepdims=True))
+def _emissions(scores: np.ndarray) -> np.ndarray:
+    """Scores as factors, the best label's factor 1."""
+    return np.exp(scores - scores.max(-1, keepdims=True))
+
+
+def _forward_backward(emitted: np.ndarray, breaks: np.ndarray, lengths: np.ndarray, field: Field, want_pairs: bool = False):
+    """Posteriors of a padded batch (sequences × time × labels) of emission factors, and expected transitions by kind if wanted.
+
+    Messages are scaled at every fourth step; factors of at most 1 can't leave the range of floats in between.
+    """
+    batch, time, labels = emitted.shape
+    inner, outer = np.exp(field.within).astype(emitted.dtype), np.exp(field.at_break).astype(emitted.dtype)
     alpha = np.empty_like(emitted)
-    alpha[:, 0] = emitted[:, 0] / emitted[:, 0].sum(1, keepdims=True)
+    alpha[:, 0] = emitted[:, 0]
     for t in range(1, time):
         step = np.where(breaks[:, t, None], alpha[:, t - 1] @ outer, alpha[:, t - 1] @ inner) * emitted[:, t]
-        alpha[:, t] = step / step.sum(1, keepdims=True)
-    beta = np.ones((batch, labels), scores.dtype)
+        alpha[:, t] = step / step.sum(1, keepdims=True) if t % 4 == 0 else step
+    beta = np.ones((batch, labels), emitted.dtype)
     pairs = (np.zeros((labels, labels)), np.zeros((labels, labels)))
     out = np.empty_like(emitted)
     for t in range(time - 1, -1, -1):
         beta[lengths - 1 == t] = 1.0
         out[:, t] = alpha[:, t] * beta
-        out[:, t] /= out[:, t].sum(1, keepdims=True) + 1e-30
         if t:
             right = beta * emitted[:, t]
             if want_pairs:
@@ -134,8 +140,9 @@ def _forward_backward(scores: np.ndarray, breaks: np.ndarray, lengths: np.ndarra
                         norm = np.einsum("bi,ij,bj->b", alpha[rows, t - 1], table, right[rows]) + 1e-30
                         pairs[kind][:] += table * np.einsum("bi,bj->ij", alpha[rows, t - 1] / norm[:, None], right[rows])
             beta = np.where(breaks[:, t, None], right @ outer.T, right @ inner.T)
-            beta /= beta.sum(1, keepdims=True) + 1e-30
-            beta[t - 1 >= lengths] = 1.0
+            if t % 4 == 0:
+                beta /= beta.sum(1, keepdims=True) + 1e-30
+    out /= out.sum(2, keepdims=True) + 1e-30
     return (out, pairs) if want_pairs else out
 
 
@@ -179,10 +186,11 @@ def train(sequences: list[tuple[list[str], list[int]]], labels: int, rounds: int
     for step in range(1, rounds + 1):
         per_kind = np.zeros((len(lists), labels))
         np.add.at(per_kind, owner, weights[slot])
+        factors = _emissions(per_kind)
         slope_kind, slope_tables = np.zeros_like(per_kind), [np.zeros_like(t) for t in tables]
         field = Field(weights, tables[0], tables[1])
         for ids, breaks, lengths, truth in batches:
-            post, pairs = _forward_backward(per_kind[ids], breaks, lengths, field, True)
+            post, pairs = _forward_backward(factors[ids], breaks, lengths, field, True)
             live = np.arange(ids.shape[1]) < lengths[:, None]
             slope = post[live]
             slope[np.arange(len(slope)), truth[live]] -= 1.0
@@ -212,6 +220,8 @@ class Labeller:
         self.known: dict[str, int] = {}
         self.scores = np.zeros((1024, field.weights.shape[1]), np.float32)
         self.weight = np.zeros(1024, np.int32)
+        self.closes = np.zeros(1024, bool)
+        self.opens = np.zeros(1024, bool)
 
     def _ids(self, tokens: list[str]) -> np.ndarray:
         if len(self.known) > CACHE_WORDS:
@@ -221,7 +231,10 @@ class Labeller:
             if i >= len(self.scores):
                 self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
                 self.weight = np.concatenate([self.weight, np.zeros_like(self.weight)])
-            self.scores[i] = self.field.weights[features(token)].sum(0)
+                self.closes = np.concatenate([self.closes, np.zeros_like(self.closes)])
+                self.opens = np.concatenate([self.opens, np.zeros_like(self.opens)])
+            self.scores[i] = _emissions(self.field.weights[features(token)].sum(0))
+            self.closes[i], self.opens[i] = token[-1] in CLAUSE_END, token[0] in "(—–"
             wide = WIDE.match(token)
             self.weight[i] = len(token) // 2 if wide else int(any(c.isalnum() for c in token))
         return np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
@@ -239,10 +252,8 @@ class Labeller:
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         flat = [t for p in pieces for t in p]
         ids = self._ids(flat)
-        ends = np.fromiter((t[-1] in ".!?。！？।…:;)—–" for t in flat), bool, len(flat))
-        opens = np.fromiter((t[0] in "(—–" for t in flat), bool, len(flat))
-        breaks = opens.copy()
-        breaks[1:] |= ends[:-1]
+        breaks = self.opens[ids]
+        breaks[1:] |= self.closes[ids[:-1]]
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         best = np.empty(len(flat), np.int64)
         sure = np.empty(len(flat), np.float32)
@@ -345,7 +356,7 @@ def train_on(texts: DataFrame, code_lines: DataFrame | None, names: dict[str, in
     return train(clean + mixed, n_labels, rounds=24, start=field)
 
 
-def _labelled(batches: Iterator[pa.RecordBatch], model, codes: list[str], names: dict[str, int]) -> Iterator[pa.RecordBatch]:
+def _labelled(batches: Iterator[pa.RecordBatch], model, codes: list[str], names: dict[str, int], only_doubtful: bool) -> Iterator[pa.RecordBatch]:
     labeller = Labeller(model.value)
     for batch in batches:
         keys, kinds, texts, stated = (c.to_pylist() for c in batch.columns)
@@ -362,17 +373,20 @@ def _labelled(batches: Iterator[pa.RecordBatch], model, codes: list[str], names:
                 weights[i][label] = weights[i].get(label, 0) + words
         main = [max(w, key=lambda k: (w[k], -k)) if w else -1 for w in weights]
         told = [names.get(s.strip().lower(), -1) if s else -1 for s in stated]
+        doubtful = [len(w) > 1 or t not in w for w, t in zip(weights, told)]
         out: list[list] = [[] for _ in range(11)]
         for i, n, found in zip(owner, number, parts):
+            if only_doubtful and not doubtful[i]:
+                continue
             for seg, (label, words, confidence) in enumerate(found, 1):
-                values = (kinds[i], keys[i], n, seg, codes[label], words, round(confidence, 4), codes[main[i]], len(weights[i]) > 1 or told[i] not in weights[i], len(texts[i].split()), len(texts[i].strip()))
+                values = (kinds[i], keys[i], n, seg, codes[label], words, round(confidence, 4), codes[main[i]], doubtful[i], len(texts[i].split()), len(texts[i].strip()))
                 for column, value in zip(out, values):
                     column.append(value)
         types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.string(), pa.bool_(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["record_kind", "record_id", "line_no", "segment_no", "lang_code", "n_words", "confidence", "main_lang", "doubtful", "text_words", "text_chars"])
 
 
-def segments(records: DataFrame, field: Field, codes: list[str], names: dict[str, int]) -> DataFrame:
+def segments(records: DataFrame, field: Field, codes: list[str], names: dict[str, int], only_doubtful: bool = False) -> DataFrame:
     """Stretches of every record ``(record_id, record_kind, text, stated)``; a map without a shuffle.
 
     ``(record_kind, record_id, line_no, segment_no, lang_code, n_words, confidence, main_lang, doubtful, text_words, text_chars)``;
@@ -382,7 +396,7 @@ def segments(records: DataFrame, field: Field, codes: list[str], names: dict[str
     model = records.sparkSession.sparkContext.broadcast(field)
     rows = records.where("record_id is not null and trim(text) <> ''").select(F.col("record_id").cast("long"), "record_kind", "text", "stated")
     schema = "record_kind string, record_id long, line_no long, segment_no long, lang_code string, n_words long, confidence double, main_lang string, doubtful boolean, text_words long, text_chars long"
-    return rows.mapInArrow(lambda batches: _labelled(batches, model, codes, names), schema)
+    return rows.mapInArrow(lambda batches: _labelled(batches, model, codes, names, only_doubtful), schema)
 
 
 def record_labels(found: DataFrame) -> DataFrame:

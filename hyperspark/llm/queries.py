@@ -43,15 +43,15 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _segments(spark: SparkSession, sf_dir: str, only_doubtful: bool = False) -> DataFrame:
     codes, names, code = language.language_names(table(spark, sf_dir, "languages"))
     labelled = table(spark, sf_dir, "samples").select(F.col("query").alias("text"), "lang")
     lines = table(spark, sf_dir, "conversions").select(F.explode(F.split("plain_text", "\n")).alias("line"))
-    return language.segments(_texts(spark, sf_dir), language.train_on(labelled, lines, names, len(codes), code), codes, names)
+    return language.segments(_texts(spark, sf_dir), language.train_on(labelled, lines, names, len(codes), code), codes, names, only_doubtful)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _segments(spark, sf_dir).where("doubtful")
+    found = _segments(spark, sf_dir, only_doubtful=True)
     enough = F.when(F.col("main_lang") == "LANG_CHINESE", F.col("text_chars") >= 14).otherwise(F.col("text_words") >= 6)
     lines = found.where("record_kind = 'conversions'").select("record_kind", "record_id", "line_no", "lang_code")
     samples = found.where("record_kind = 'samples'").where((F.col("lang_code") == F.col("main_lang")) & enough)
