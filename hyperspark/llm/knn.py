@@ -30,7 +30,7 @@ from hyperspark.plans.runtime import cut, ship
 #: Rows of the training sample (a bound), vectors a part should hold, parts a vector is routed to, most parts learned.
 SAMPLE_ROWS = 16_384
 PART_ROWS = 400
-PROBES = 4
+PROBES = 3
 MAX_PARTS = 2048
 TRAIN_SEED = 7
 #: Precision in which unit vectors travel: 1 / SCALE, an error of a cosine of about 1e-5.
