@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hyperspark.llm import cooccur, knn, language, mixing, reading, splits, subjects, tokenise, truncation
+from hyperspark.llm.sql import SQL
 from hyperspark.plans.runtime import table
 
+__all__ = ["QUERIES", "SQL"]
+
 
 def _splits(spark: SparkSession, sf_dir: str) -> splits.Splits:
     return splits.split_records(table(spark, sf_dir, "samples"), table(spark, sf_dir, "split_targets"))

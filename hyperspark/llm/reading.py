@@ -54,12 +54,13 @@ class Guess:
     names: tuple[str, ...] = ()
 
     def of(self, words: list[str]) -> str | None:
-        total = np.zeros(len(self.names))
+        total, known = np.zeros(len(self.names)), False
         for word, n in Counter(words).items():
             rate = self.rates.get(word)
             if rate is not None:
                 total += n * rate
-        return self.names[int(total.argmax())] if len(self.names) and total.any() else None
+                known = True
+        return self.names[int(total.argmax())] if known else None
 
 
 def learn_languages(rows: list[tuple[str, str]]) -> Guess:
