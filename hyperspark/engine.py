@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from hyperspark.config import DEFAULT, EngineConfig
 from hyperspark.functions import text as T
@@ -16,7 +17,7 @@ from hyperspark.plans.runtime import cut, ship
 from hyperspark.sources import sinks
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def embed(texts: pd.Series) -> pd.Series:
     """Unit n-gram vectors of texts."""
     return pd.Series(list(V.unit_rows(V.ngram_vectors(texts.tolist()))), index=texts.index)

@@ -70,14 +70,14 @@ def read_binary_vectors(spark: SparkSession, path: str, dim: int = 300) -> DataF
 
 def read_merges(spark: SparkSession, path: str) -> DataFrame:
     """``(rank, left, right)`` of a merge file: one pair a line in order of rank, after a first line that is skipped."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("i", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("i", "line"))
     pair = F.split("line", " ")
     return lines.where((F.col("i") > 0) & (F.size(pair) == 2)).select((F.col("i") - 1).alias("rank"), pair[0].alias("left"), pair[1].alias("right"))
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """``(token, id)`` of a JSON object of token numbers."""
-    one = spark.read.option("wholetext", "true").text(path).select(F.from_json("value", "map<string, bigint>").alias("m"))
+    one = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, bigint>").alias("m"))
     return one.select(F.explode("m").alias("token", "id"))
 
 
