@@ -158,3 +158,26 @@ def test_ngram_vectors_match_a_plain_version():
     assert not V.ngram_vectors(["", None]).any()
     near, far = V.unit_rows(V.ngram_vectors(["quantum mechanics theory", "quantum mechanics law", "banana bread recipe"])) @ V.unit_rows(V.ngram_vectors(["quantum mechanics theory"]))[0], None
     assert near[1] > near[2] and near[1] > 0.1
+
+
+def test_word_bpe(spark):
+    from hyperspark.functions import bpe
+
+    merges = spark.createDataFrame([(0, "l", "o"), (1, "lo", "w</w>"), (2, " ", "lo")], "rank int, left string, right string")
+    vocabulary = spark.createDataFrame([("low</w>", 7), ("lo", 8)], "token string, id long")
+    df = spark.createDataFrame([("low lo",), (None,), ("",)], "t string")
+    got = [r["bpe_ids"] for r in bpe.encode(df, "t", merges, vocabulary).collect()]
+    assert got[0][0] == 7 and got[0][-1] == bpe.fnv("o</w>") % 65280 + 256 and got[1] is None and got[2] == []
+    assert one(spark, bpe.decode(F.array(F.lit(7), F.lit(9), F.lit(7)), {7: "low</w>"})) == "low low"
+
+
+def test_vocabulary_embedding(spark):
+    from hyperspark.operators import grow
+
+    words = spark.createDataFrame([("red", [1.0, 0.0]), ("car", [0.0, 1.0])], "word string, v array<double>")
+    rows = spark.createDataFrame([(1, "Red car"), (2, "unknown"), (3, None)], "k long, t string")
+    got = {r["k"]: r["v"] for r in grow.vocabulary_embed(rows, "k", "t", words).collect()}
+    weights = np.array([1.1, 1.1 / 1.05])
+    assert set(got) == {1} and np.allclose(got[1], weights / np.linalg.norm(weights))
+    p = grow.random_projection(8, 2)
+    assert np.allclose(np.linalg.norm(p, axis=1), 1) and grow.vocabulary_embed(rows, "k", "t", words, p).count() == 1
