@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperspark.plans.runtime import cut, ship
+from hyperspark.plans.runtime import cut, ship, skew_join
 
 #: Rows of the training sample (a bound), vectors a part should hold, parts a vector is routed to, most parts learned.
 SAMPLE_ROWS = 16_384
@@ -36,6 +36,8 @@ TRAIN_SEED = 7
 #: Precision in which unit vectors travel: 1 / SCALE, an error of a cosine of about 1e-5.
 SCALE = 32_767
 BLOCK = 1024
+#: Up to so many ids are broadcast (8 MB), more are shuffled.
+BROADCAST_IDS = 1_000_000
 
 
 def usable(vec: list | np.ndarray | None, views: list | None, dim: int, n_views: int) -> np.ndarray | None:
@@ -246,12 +248,12 @@ def nearest(
     spark = nodes.sparkSession
     coded = signatures(nodes, id_column, vector, views, dim, n_views)
     # A node listed twice is one node; nodes with the same code are copies of the one with the smallest id.
-    sizes = coded.select("id", F.xxhash64("code").alias("h")).groupBy("h").agg(F.min("id").alias("sig"), F.count_distinct("id").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    sizes = cut(sizes)
+    light = cut(coded.select("id", F.xxhash64("code").alias("h")))
+    sizes = cut(light.groupBy("h").agg(F.min("id").alias("sig"), F.count(F.lit(1)).alias("rows")))
     total = sizes.count()
     if total == 0:
         return spark.createDataFrame([], "id bigint, neighbour bigint, similarity float, rank int")
-    repeated = sizes.where("rows > 1").select("h", F.col("sig").alias("sig_id"))
+    copies = cut(skew_join(light, sizes.where("rows > 1").select("h", "sig"), "h", salt_by="id").select("sig", "id").distinct())
     part_count = int(min(MAX_PARTS, max(1, round(total * probes / (part_rows * probes)))))
     share = min(1.0, sample_rows / total)
     cut_at = int(-(2**63) + share * 2**64) if share < 1 else 2**63 - 1
@@ -272,8 +274,9 @@ def nearest(
             rows = pa.array(np.repeat(np.arange(len(blobs)), each))
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(rows), batch.column(1).take(rows)], ["part", "id", "code"])
 
-    # Of copies only the one with the smallest id is compared (twice-listed nodes drop out here too).
-    kept = coded.withColumn("h", F.xxhash64("code")).join(repeated, "h", "left").where(F.col("sig_id").isNull() | (F.col("sig_id") == F.col("id"))).select("id", "code")
+    # Of copies only the one with the smallest id is compared; vectors are shuffled for that only if the others are many.
+    others = copies.where("id <> sig").select("id")
+    kept = coded.join(F.broadcast(others) if others.count() <= BROADCAST_IDS else others, "id", "left_anti")
 
     def within(frame: pa.Table) -> pa.Table:
         ids = frame.column("id").to_numpy()
@@ -282,12 +285,10 @@ def nearest(
         return pa.table([pa.array(found[0]), pa.array(found[1]), pa.array(found[2].astype(np.float32))], names=["id", "neighbour", "similarity"])
 
     found = kept.mapInArrow(routed, "part bigint, id bigint, code binary").groupBy("part").applyInArrow(within, "id bigint, neighbour bigint, similarity float")
-    # Both directions: a neighbour met in any part counts for either end.
-    both = found.union(found.select(F.col("neighbour").alias("id"), F.col("id").alias("neighbour"), "similarity")) if least > -1 else found
-    merged = both.groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
+    # A row has at most ``k`` neighbours of each of its parts, so no group below grows with the data.
+    merged = found.groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
     best = merged.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("d"), "neighbour"))), 1, k).alias("near"))
-    copies = coded.withColumn("h", F.xxhash64("code")).join(repeated, "h").select(F.col("sig_id").alias("sig"), "id").distinct()
-    return _expanded(cut(best), cut(copies), k)
+    return _expanded(cut(best), copies, k)
 
 
 def _expanded(best: DataFrame, copies: DataFrame, k: int) -> DataFrame:
@@ -299,7 +300,11 @@ def _expanded(best: DataFrame, copies: DataFrame, k: int) -> DataFrame:
     pairs = best.select(F.col("id").alias("sig"), F.explode("near").alias("e")).select("sig", F.col("e.neighbour").alias("other"), (-F.col("e.d")).alias("similarity"))
     widened = pairs.join(few.select(F.col("sig").alias("other"), "ids"), "other", "left").select("sig", F.explode(F.coalesce("ids", F.array("other"))).alias("neighbour"), "similarity")
     own = few.where(F.size("ids") > 1).select("sig", F.explode("ids").alias("neighbour"), F.lit(1.0).cast("float").alias("similarity"))
-    owned = widened.union(own).join(copies, "sig", "left").select(F.coalesce("id", "sig").alias("id"), "neighbour", "similarity").where(F.col("id") != F.col("neighbour"))
+    by_signature = cut(widened.union(own))
+    # Many copies of one signature: its few neighbours are joined to the copies spread over tasks.
+    of_copies = skew_join(copies, by_signature, "sig", salt_by="id").select("id", "neighbour", "similarity")
+    of_others = by_signature.join(copies.select("sig").distinct(), "sig", "left_anti").select(F.col("sig").alias("id"), "neighbour", "similarity")
+    owned = of_copies.union(of_others).where(F.col("id") != F.col("neighbour"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour"))
     return owned.withColumn("rank", rank).where(F.col("rank") <= k)
 

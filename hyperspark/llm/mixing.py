@@ -126,6 +126,6 @@ def mix(documents: DataFrame, targets: DataFrame, id_column: str = "doc_id", tex
         F.col("named").alias("source"), "target_share", "max_repeats", "n_documents", "held_tokens", F.coalesce("n_copies", F.lit(0)).alias("n_copies"), F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
         (F.coalesce("mixed_tokens", F.lit(0)) / F.lit(float(max(total, 1)))).alias("share_reached"), (F.col("held_tokens") * F.col("max_repeats") >= F.col("target_share") * F.lit(float(total))).alias("reachable"),
     )
-    mixed = shares.agg(F.sum("mixed_tokens").alias("all_mixed"))
-    shares = shares.join(F.broadcast(mixed)).withColumn("share_of_mix", F.col("mixed_tokens") / F.greatest(F.col("all_mixed"), F.lit(1))).drop("all_mixed")
+    whole = F.greatest(shares.agg(F.sum("mixed_tokens")).scalar(), F.lit(1))
+    shares = shares.withColumn("share_of_mix", F.col("mixed_tokens") / whole)
     return Mixture(drawn, shares)

@@ -92,8 +92,7 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_makeup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of the corpus by subject."""
     by = _shares(spark, sf_dir).groupBy("subject").agg(F.round(F.sum(F.col("share") * F.col("n_sentences"))).cast("long").alias("n_sentences"), F.count_if(F.col("share") >= 0.25).alias("n_documents"))
-    whole = by.agg(F.sum("n_sentences").alias("whole"))
-    return by.join(F.broadcast(whole)).select("subject", "n_documents", "n_sentences", F.round(F.col("n_sentences") / F.col("whole"), 6).alias("share"))
+    return by.select("subject", "n_documents", "n_sentences", F.round(F.col("n_sentences") / by.agg(F.sum("n_sentences")).scalar(), 6).alias("share"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
