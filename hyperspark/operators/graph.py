@@ -24,12 +24,12 @@ def add_nodes(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     Labels are numbered in order by counting within hash-ordered partitions, without one global sort.
     """
     fresh = labels.select("label").where("trim(label) <> ''").distinct().join(nodes.select("label"), "label", "left_anti")
-    start = nodes.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("start"))
+    start = nodes.agg(F.coalesce(F.max("id"), F.lit(-1))).scalar()
     prefix = F.substring("label", 1, 2)
     counts = fresh.groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).select("prefix", "before")
     numbered = fresh.withColumn("prefix", prefix).join(before, "prefix").withColumn("i", F.row_number().over(Window.partitionBy("prefix").orderBy("label")))
-    made = numbered.join(F.broadcast(start)).select((F.col("start") + F.col("before") + F.col("i")).alias("id"), "label")
+    made = numbered.select((start + F.col("before") + F.col("i")).alias("id"), "label")
     return nodes.select("id", "label").union(made)
 
 

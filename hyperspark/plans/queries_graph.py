@@ -282,8 +282,8 @@ def causal_path(spark, sf_dir):
 def linear_seeds(spark, sf_dir):
     """The fallback search: the first 16 rows by id that resonate at all."""
     e = _embeddings(spark, sf_dir)
-    one = e.where("id = 0").select(F.col("v").alias("qv"))
-    found = e.where("id <> 0").join(F.broadcast(one.limit(1))).select("id", F.round(V.dot(F.col("qv"), F.col("v")), 9).alias("sim")).where("sim >= 0.12")
+    one = e.where("id = 0").select("v").first()
+    found = e.where("id <> 0").select("id", F.round(V.dot(F.lit(one["v"] if one else []), F.col("v")), 9).alias("sim")).where("sim >= 0.12")
     return found.orderBy("id").limit(16).select("id", F.round("sim", 6).alias("sim"))
 
 

@@ -46,8 +46,7 @@ def ship(spark: SparkSession) -> None:
 def hot_keys(df: DataFrame, key: str, share: float = 0.02) -> DataFrame:
     """Keys that hold more than ``share`` of the rows: at most ``1 / share`` of them, so safe to broadcast."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n").alias("__total"))
-    return counts.join(F.broadcast(total), F.col("__n") > F.col("__total") * share).select(key)
+    return counts.where(F.col("__n") > counts.agg(F.sum("__n")).scalar() * share).select(key)
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", share: float = 0.02, salts: int = 32, salt_by: str | None = None) -> DataFrame:
