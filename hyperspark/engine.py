@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -48,7 +48,7 @@ class Engine:
         return cls(spark, nodes, spark.createDataFrame(both, "src long, dst long, adj_idx int, weight double, type string"), **options)
 
     def _seeds(self, asked: DataFrame) -> DataFrame:
-        near = topk.topk_join(asked.select(F.col("q").alias("id"), "v"), self.nodes.select((F.col("id") + F.lit(0)).alias("id"), "v"), self.config.seeds, self.config.resonance_threshold)
+        near = topk.topk_join(asked.select(F.col("q").alias("id"), "v"), self.nodes.select("id", "v"), self.config.seeds, self.config.resonance_threshold)
         return near.select("q", F.col("id").alias("seed"), F.col("sim"))
 
     def query(self, queries: DataFrame) -> DataFrame:
@@ -61,8 +61,6 @@ class Engine:
         reached = cut(activate.spread(seeds.select("q", "seed", F.col("sim").alias("spike")), edges, config=c))
         active = cut(activate.activations(reached, config=c))
         ends = active.where("activation >= 0.2").join(self.nodes.select(F.col("id").alias("node"), "label"), "node")
-        from pyspark.sql import Window
-
         ends = cut(ends.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("activation"), "node"))).where("place <= 16"))
         pairs = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "res").distinct()
         found = reason.chains(ends, edges, pairs, c.max_chains)
@@ -136,5 +134,5 @@ class Engine:
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions of the engine: ``ngram_embed(text)`` and, as SQL functions, ``fnv1a`` stays a column builder."""
+    """Register ``ngram_embed(text)`` for SQL; the other functions are column expressions in ``hyperspark.functions``."""
     spark.udf.register("ngram_embed", embed)
