@@ -33,7 +33,7 @@ LARGE_SHARE = 1000
 BLOCK_COMPONENTS = 4000
 CHAINS = 3
 #: Weight of the deviation of label shares against that of sizes.
-LABEL_WEIGHT = 0.1
+LABEL_WEIGHT = 0.03
 
 
 def file_key(source: str | None) -> str | None:
@@ -132,7 +132,8 @@ def anneal(size: np.ndarray, labels: np.ndarray, start: np.ndarray, want: np.nda
         new_a, new_b = sizes[a] - change, sizes[b] + change
         new_part = (abs(new_a - want[a]) + abs(new_b - want[b]) + LABEL_WEIGHT * (np.abs(held[a] - change_labels - want_labels[a]).sum() + np.abs(held[b] + change_labels - want_labels[b]).sum())) / total
         worse = new_part - part
-        if worse <= 0 or rng.random() < np.exp(-worse / (heat * (1 - step / steps) + 1e-12)):
+        # Cooling ends after half the steps; the rest only descends.
+        if worse <= 0 or rng.random() < np.exp(-worse / (heat * max(0.0, 1 - 2 * step / steps) ** 2 + 1e-12)):
             now[i] = b
             if j >= 0:
                 now[j] = a
