@@ -67,25 +67,22 @@ def spectral_coordinates(edges: DataFrame, degree: DataFrame, k: int = DEFAULT.s
     """
     roots = degree.where("degree > 0").select("node", (1 / F.sqrt("degree")).alias("root"))
     flow = cut(edges.join(roots.withColumnRenamed("node", "src").withColumnRenamed("root", "ra"), "src").join(roots.withColumnRenamed("node", "dst").withColumnRenamed("root", "rb"), "dst").select("src", F.col("dst").alias("node"), (F.col("weight") * F.col("ra") * F.col("rb")).alias("w")))
-    found: DataFrame | None = None
+    found = cut(roots.select("node"))  # a column of values for each axis found
     for axis in range(k):
-        x = cut(roots.select("node", (F.pmod(F.xxhash64("node", F.lit(axis)), F.lit(2001)) / 1000.0 - 1.0).alias("x")))
-        for step in range(rounds):
+        before = [f"v{j}" for j in range(axis)]
+        x = cut(found.select("node", (F.pmod(F.xxhash64("node", F.lit(axis)), F.lit(2001)) / 1000.0 - 1.0).alias("x")))
+        for _ in range(rounds):
             # A shift by the identity keeps eigenvalues apart from their negatives.
-            y = _product(flow, x).union(x.select("node", "x")).groupBy("node").agg(F.sum("x").alias("x"))
-            if found is not None:
-                parts = found.join(y, "node").groupBy("axis").agg(F.sum(F.col("value") * F.col("x")).alias("part"))
-                away = found.join(F.broadcast(parts), "axis").groupBy("node").agg(F.sum(F.col("value") * F.col("part")).alias("away"))
-                y = y.join(away, "node", "left").select("node", (F.col("x") - F.coalesce("away", F.lit(0.0))).alias("x"))
-            y = cut(y) if step % 3 == 2 or step == rounds - 1 else y
-            if step % 3 == 2 or step == rounds - 1:
-                length = (y.agg(F.sum(F.col("x") * F.col("x"))).first()[0] or 0.0) ** 0.5
-                y = y.select("node", (F.col("x") / max(length, 1e-12)).alias("x"))
-            x = y
-        sign = x.agg(F.max_by(F.signum("x"), F.struct(F.round(F.abs("x"), 9), -F.col("node")))).first()[0] or 1.0
-        fresh = x.select("node", F.lit(axis).alias("axis"), (F.col("x") * sign).alias("value"))
-        found = cut(fresh if found is None else found.union(fresh))
-    return found
+            y = cut(_product(flow, x).union(x.select("node", "x")).groupBy("node").agg(F.sum("x").alias("x")).join(found, "node"))
+            sums = y.agg(F.sum(F.col("x") * F.col("x")), *[F.sum(F.col(v) * F.col("x")) for v in before]).first()
+            away = sum((part * F.col(v) for v, part in zip(before, sums[1:]) if part), F.lit(0.0))
+            x = y.select("node", ((F.col("x") - away) / max((sums[0] or 0.0) ** 0.5, 1e-12)).alias("x"))
+        x = cut(x)
+        length = (x.agg(F.sum(F.col("x") * F.col("x"))).first()[0] or 0.0) ** 0.5
+        sign = x.agg(F.max_by(F.signum("x"), F.struct(F.round(F.abs("x") / max(length, 1e-12), 9), -F.col("node")))).first()[0] or 1.0
+        found = cut(found.join(x.select("node", (F.col("x") * (sign / max(length, 1e-12))).alias(f"v{axis}")), "node"))
+    values = [F.struct(F.lit(axis).alias("axis"), F.col(f"v{axis}").alias("value")) for axis in range(k)]
+    return found.select("node", F.explode(F.array(*values)).alias("e")).select("node", "e.*")
 
 
 def rescore_seeds(seeds: DataFrame, coordinates: DataFrame, limit: int = DEFAULT.seeds) -> DataFrame:

@@ -381,7 +381,7 @@ def spectral_norm(spark, sf_dir):
 def spectral_coords(spark, sf_dir):
     edges = _edges(spark, sf_dir)
     degree = hyper.weighted_degree(_members(spark, sf_dir), _hyper(spark, sf_dir), edges)
-    return rank.spectral_coordinates(edges, degree, k=2, rounds=12).select("node", "axis", F.round("value", 6).alias("value"))
+    return rank.spectral_coordinates(edges, degree).select("node", "axis", F.round("value", 6).alias("value"))
 
 
 @query("""WITH s AS (SELECT vec_id AS node, label AS q, 1 - v.embedding[1]::DOUBLE AS dist, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS place FROM embeddings v), t AS (SELECT * FROM s WHERE place <= 20), c AS (SELECT vec_id AS node, unnest(embedding)::DOUBLE AS value, generate_subscripts(embedding, 1) - 1 AS axis FROM embeddings), k AS (SELECT * FROM c WHERE axis < 8),

@@ -1,5 +1,6 @@
 """Operators on small graphs, sources and sinks, streams, the facade, and the queries against SQL."""
 
+import inspect
 import math
 import random
 import zipfile
@@ -88,6 +89,23 @@ def test_connect_and_hyperedges(spark):
     assert len(made) == 1 and made[0]["members"] == list(range(16)) and made[0]["weight"] == 0.5
 
 
+def test_spectral_coords_has_all_axes(spark, sf, monkeypatch):
+    asked = {}
+
+    def coordinates(edges, degree, *args, **kwargs):
+        bound = inspect.signature(whole).bind(edges, degree, *args, **kwargs)
+        bound.apply_defaults()
+        asked.update(bound.arguments)
+        return whole(edges, degree, asked["k"], 2)
+
+    whole = rank.spectral_coordinates
+    monkeypatch.setattr(rank, "spectral_coordinates", coordinates)
+    found = entry.queries()["spectral_coords"](spark, sf).toPandas()
+    assert (asked["k"], asked["rounds"]) == (8, 30) and set(found["axis"]) == set(range(8))
+    wide = found.pivot(index="node", columns="axis", values="value").to_numpy()
+    assert np.abs((wide**2).sum(0) - 1).max() < 1e-4
+
+
 def test_add_nodes_numbers_once(spark):
     nodes = spark.createDataFrame([(0, "a"), (4, "b")], "id long, label string")
     got = graph.add_nodes(nodes, spark.createDataFrame([("b",), ("zeta",), ("zeta",), ("ab",), (" ",), (None,), ("za",)], "label string")).collect()
