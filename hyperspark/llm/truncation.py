@@ -37,8 +37,9 @@ BEGINNING_RANK = ORDERS + 1
 CACHE_WORDS = 300_000
 #: A context needs so many sightings; from which odds on a text counts as cut.
 MIN_SIGHTINGS = 4
-#: A document id with more texts than this isn't looked into.
-TEXTS_OF_A_DOCUMENT = 64
+#: Texts of a document id that has more than so many, and more than this share of all texts, are spread over tasks.
+MANY_TEXTS = 64
+MANY_SHARE = 0.001
 PREFIX_SALT = 0x9E3779B97F4A7C15
 
 
@@ -213,16 +214,19 @@ def truncated(records: DataFrame, corpus: DataFrame | None = None, record: str =
     # Evidence 3: what follows the text in its own document.
     judged = candidates.join(at_limit, "key", "left").join(endings, "key", "left")
     if corpus is not None:
-        # A document id with very many texts is no document's id; its texts are left to the other evidence.
         texts = corpus.where(F.col(corpus_text).isNotNull() & F.col(corpus_document).isNotNull()).select(F.col(corpus_document).cast("string").alias("doc"), F.col(corpus_text).alias("body"))
-        few = texts.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= TEXTS_OF_A_DOCUMENT).select("doc")
-        documents = texts.join(few, "doc", "left_semi").groupBy("doc").agg(F.concat_ws("\n", F.sort_array(F.collect_set("body"))).alias("body"))
+        cores = candidates.where(F.col("doc").isNotNull() & (F.length("core") >= 8)).select("key", "doc", "core")
+        counts = texts.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
+        # At most 1 / MANY_SHARE ids, so safe to broadcast. Their texts are spread, all others' candidates where these are many.
+        many = F.broadcast(cut(counts.where((F.col("n") > MANY_TEXTS) & (F.col("n") > counts.agg(F.sum("n")).scalar() * MANY_SHARE)).select("doc")))
+        few_texts = skew_join(cores.join(many, "doc", "left_anti"), texts.join(many, "doc", "left_anti"), "doc", salt_by="key")
+        many_texts = skew_join(texts.join(many, "doc", "left_semi").distinct(), cores.join(many, "doc", "left_semi"), "doc", salt_by="body")
+        pairs = few_texts.select("key", "core", "body").union(many_texts.select("key", "core", "body")).where(F.col("body").contains(F.col("core")))
         body = F.concat("body", F.lit("\n"))
-        stands = F.col("body").contains(F.col("core")) & (F.length("core") >= 8)
         ends_there = F.lit(False)
         for mark in [*CLOSING, "…", "\n", ":", " (", " —", " –"]:
             ends_there = ends_there | F.contains(body, F.concat("core", F.lit(mark)))
-        follows = skew_join(candidates.where("doc is not null").select("key", "doc", "core"), documents, "doc", salt_by="key").select("key", F.when(~stands, None).when(ends_there, "ends").otherwise("goes_on").alias("there"))
+        follows = pairs.groupBy("key").agg(F.max(ends_there).alias("ends_there")).select("key", F.when(F.col("ends_there"), "ends").otherwise("goes_on").alias("there"))
         judged = judged.join(follows, "key", "left")
     else:
         judged = judged.withColumn("there", F.lit(None).cast("string"))

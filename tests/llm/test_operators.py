@@ -105,6 +105,19 @@ def test_truncation_cases(spark):
     assert shares["x"]["share"] == 0.0 and shares["y"]["n_damaged"] == 6
 
 
+def test_documents_of_many_texts_are_looked_into(spark):
+    cut_off = "The market depends on the price of bread"
+    full = f"{cut_off} and the coin stands near the old market of the town."
+    data = [(1, cut_off, "many"), (2, cut_off, "copies"), (3, cut_off, "none"), (4, cut_off, "both")]
+    data += [(100 + i, f"{cut_off}.", None) for i in range(600)]  # elsewhere such a text is whole
+    texts = [("many", f"Text {i} is about another thing.") for i in range(100)] + [("many", full)]
+    texts += [("copies", full)] * 80 + [("none", "Nothing of it.")] + [("both", f"Text {i} of both.") for i in range(70)] + [("both", full), ("both", f"{cut_off}.")]
+    records = spark.createDataFrame(data, "sample_id long, query string, doc_id string")
+    corpus = spark.createDataFrame(texts, "doc_id string, plain_text string")
+    found = dict(rows(truncation.truncated(records, corpus)))
+    assert {k: found[k] for k in range(1, 5)} == {1: True, 2: True, 3: False, 4: False}
+
+
 def test_hidden_limit_in_bytes(spark):
     rng = random.Random(1)
     words = ["casa", "perro", "niño", "árbol", "camión", "mesa", "libro"]
