@@ -3,8 +3,8 @@
 On a bounded sample a neighbour graph is made exactly and cut into balanced parts (recursive median splits,
 then moves to the part most neighbours are in, within a capacity). A small softmax classifier learns from a
 vector the parts its neighbours lie in, and routes every vector of the collection to its most probable parts.
-Vectors that share a part are compared exactly, block by block, and the best of all parts are kept. Parts
-that would hold too many vectors are cut again along directions learned from their sample.
+Vectors that share a part are compared exactly, block by block, and the best of all parts are kept. A part
+that would hold too many vectors is spread over tasks, one for each pair of its blocks, so all of it is compared.
 
 Exact copies are one signature: they are routed and compared once and expanded at the end, so a large group
 of copies costs no more than one vector.
@@ -36,6 +36,8 @@ TRAIN_SEED = 7
 #: Precision in which unit vectors travel: 1 / SCALE, an error of a cosine of about 1e-5.
 SCALE = 32_767
 BLOCK = 1024
+#: Bits of the number of a block in the key of a task.
+BLOCK_BITS = 20
 #: Up to so many ids are broadcast (8 MB), more are shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -152,22 +154,39 @@ def balanced_parts(units: np.ndarray, graph: np.ndarray, parts: int, sweeps: int
 
 @dataclass
 class Router:
-    """Part scores ``x @ weights + bias``; parts with ``deeper`` bits are cut again along their directions."""
+    """Part scores ``x @ weights + bias``; ``blocks`` has the number of blocks of parts that are spread over tasks."""
 
     weights: np.ndarray
     bias: np.ndarray
-    deeper: dict[int, tuple[np.ndarray, np.ndarray]]
+    blocks: dict[int, int]
 
     def route(self, units: np.ndarray, probes: int) -> np.ndarray:
-        """Keys of the ``probes`` most probable parts of each vector."""
+        """The ``probes`` most probable parts of each vector."""
         scores = units @ self.weights + self.bias
         probes = min(probes, scores.shape[1])
-        keys = np.argpartition(-scores, probes - 1, axis=1)[:, :probes].astype(np.int64) << 20
-        for part, (directions, middles) in self.deeper.items():
-            rows, column = np.nonzero(keys == part << 20)
-            if len(rows):
-                keys[rows, column] += ((units[rows] @ directions > middles) << np.arange(len(middles))).sum(1)
-        return keys
+        return np.argpartition(-scores, probes - 1, axis=1)[:, :probes].astype(np.int64)
+
+    def tasks(self, ids: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(row, key)`` of the tasks of each row: its part, or all pairs of blocks of the part that hold the row's block."""
+        rows, keys = [], []
+        for part in np.unique(parts):
+            row = np.nonzero(parts == part)[0]
+            count = self.blocks.get(int(part), 1)
+            own, other = np.repeat(block_of(ids[row], count), count), np.tile(np.arange(count), len(row))
+            rows.append(np.repeat(row, count))
+            keys.append(int(part) << 2 * BLOCK_BITS | np.minimum(own, other) << BLOCK_BITS | np.maximum(own, other))
+        return np.concatenate(rows), np.concatenate(keys)
+
+
+def block_of(ids: np.ndarray, count: int) -> np.ndarray:
+    h = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)).astype(np.int64) % count
+
+
+def blocks_of(rows: float, probes: int) -> int:
+    """Blocks of a part of so many rows: 1 up to twice a block's rows, so that no task holds more."""
+    most = 3 * PART_ROWS * probes
+    return 1 if rows <= 2 * most else min(int(np.ceil(rows / most)), 1 << BLOCK_BITS)
 
 
 def train_router(units: np.ndarray, parts: int, total: int, probes: int, epochs: int = 8) -> Router:
@@ -196,30 +215,32 @@ def train_router(units: np.ndarray, parts: int, total: int, probes: int, epochs:
             weights -= rate / (1 + epoch) * (units[rows].T @ slope) * parts**0.5
             bias -= 0.1 * rate / (1 + epoch) * slope.sum(0)
     router = Router(weights, bias, {})
-    # Parts that would hold far more than the rest are cut again; directions and middles come from the sample.
-    routed = router.route(units, probes) >> 20
-    share = np.bincount(routed.ravel(), minlength=parts) / max(routed.size, 1)
-    for part in np.flatnonzero(share * total * probes > 6 * PART_ROWS * probes):
-        rows = np.flatnonzero((routed == part).any(1))
-        depth = min(12, int(np.ceil(np.log2(share[part] * total / (3 * PART_ROWS)))))
-        own = units[rows] - units[rows].mean(0)
-        _, _, main = np.linalg.svd(own[:2000], full_matrices=False)
-        directions = main[:depth].T.astype(np.float32)
-        router.deeper[int(part)] = (directions, np.median(units[rows] @ directions, axis=0).astype(np.float32))
+    # Parts that would hold far more than the rest are compared in pairs of blocks; their sizes come from the sample.
+    routed = router.route(units, probes)
+    share = np.bincount(routed.ravel(), minlength=parts) / max(len(routed), 1)
+    router.blocks |= {part: count for part in range(parts) if (count := blocks_of(share[part] * total, probes)) > 1}
     return router
 
 
 def top_of_part(ids: np.ndarray, units: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(id, neighbour, similarity)`` of the ``k`` nearest within one part, of those with at least ``least``."""
-    n = len(ids)
+    return top_between(ids, units, ids, units, k, least)
+
+
+def top_between(ids: np.ndarray, units: np.ndarray, base_ids: np.ndarray, base: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for the rows ``ids`` among the rows ``base_ids``, which are the same rows or all others."""
+    same = base_ids is ids
     order = np.argsort(ids, kind="stable")
     ids, units = ids[order], units[order]
+    order = np.argsort(base_ids, kind="stable")
+    base_ids, base = base_ids[order], base[order]
     found = []
-    for at in range(0, n, BLOCK):
-        sims = units[at : at + BLOCK] @ units.T
+    for at in range(0, len(ids), BLOCK):
+        sims = units[at : at + BLOCK] @ base.T
         here = np.arange(len(sims))
-        sims[here, at + here] = -2
-        take = min(k, n - 1)
+        if same:
+            sims[here, at + here] = -2
+        take = min(k, len(base_ids) - same)
         if take < 1:
             break
         if least > -1:
@@ -234,7 +255,7 @@ def top_of_part(ids: np.ndarray, units: np.ndarray, k: int, least: float) -> tup
             best = np.argpartition(-sims, take - 1, axis=1)[:, :take]
             rows, columns = np.repeat(here, take), best.ravel()
             values = sims[rows, columns]
-        found.append((ids[at + rows], ids[columns], values))
+        found.append((ids[at + rows], base_ids[columns], values))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
     return tuple(np.concatenate(x) for x in zip(*found))
@@ -261,7 +282,7 @@ def nearest(
     blobs = [x.as_py() for x in sampled.column(0)]
     units = np.unique(unpack(blobs, dim), axis=0) if blobs else np.zeros((0, dim), np.float32)
     part_count = max(1, min(part_count, len(units) // 8))
-    router = train_router(units, part_count, total, probes) if part_count > 1 else Router(np.zeros((dim, 1), np.float32), np.zeros(1, np.float32), {})
+    router = train_router(units, part_count, total, probes) if part_count > 1 else Router(np.zeros((dim, 1), np.float32), np.zeros(1, np.float32), {0: blocks_of(total, 1)})
     model = spark.sparkContext.broadcast(router)
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,10 +290,10 @@ def nearest(
             blobs = batch.column(1).to_pylist()
             if not blobs:
                 continue
-            keys = model.value.route(unpack(blobs, dim), probes)
-            each = keys.shape[1]
-            rows = pa.array(np.repeat(np.arange(len(blobs)), each))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(rows), batch.column(1).take(rows)], ["part", "id", "code"])
+            rows, keys = model.value.tasks(batch.column(0).to_numpy(), model.value.route(unpack(blobs, dim), probes))
+            for at in range(0, len(rows), len(blobs) * probes):  # rows of spread parts are repeated often
+                some = pa.array(rows[at : at + len(blobs) * probes])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + len(some)]), batch.column(0).take(some), batch.column(1).take(some)], ["part", "id", "code"])
 
     # Of copies only the one with the smallest id is compared; vectors are shuffled for that only if the others are many.
     others = copies.where("id <> sig").select("id")
@@ -281,11 +302,18 @@ def nearest(
     def within(frame: pa.Table) -> pa.Table:
         ids = frame.column("id").to_numpy()
         ids, first = np.unique(ids, return_index=True)
-        found = top_of_part(ids, unpack([frame.column("code")[int(i)].as_py() for i in first], dim), k, least)
+        units = unpack([frame.column("code")[int(i)].as_py() for i in first], dim)
+        key = frame.column("part")[0].as_py()
+        low, high = key >> BLOCK_BITS & (1 << BLOCK_BITS) - 1, key & (1 << BLOCK_BITS) - 1
+        if low == high:
+            found = top_of_part(ids, units, k, least)
+        else:
+            a = block_of(ids, model.value.blocks[key >> 2 * BLOCK_BITS]) == low
+            found = [np.concatenate(x) for x in zip(top_between(ids[a], units[a], ids[~a], units[~a], k, least), top_between(ids[~a], units[~a], ids[a], units[a], k, least))]
         return pa.table([pa.array(found[0]), pa.array(found[1]), pa.array(found[2].astype(np.float32))], names=["id", "neighbour", "similarity"])
 
     found = kept.mapInArrow(routed, "part bigint, id bigint, code binary").groupBy("part").applyInArrow(within, "id bigint, neighbour bigint, similarity float")
-    # A row has at most ``k`` neighbours of each of its parts, so no group below grows with the data.
+    # A row has at most ``k`` neighbours of each of its tasks: its parts, or the blocks of those that are spread.
     merged = found.groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
     best = merged.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("d"), "neighbour"))), 1, k).alias("near"))
     return _expanded(cut(best), copies, k)

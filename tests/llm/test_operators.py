@@ -242,6 +242,21 @@ def test_nearest_recall_against_brute_force(spark):
     assert len(hits) > 200 and np.mean(hits) >= 0.9
 
 
+def test_nearest_of_large_parts(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    # A dense family of unlike vectors and others; parts hold about ten times the rows of a task.
+    x = np.concatenate([rng.normal(size=384) + rng.normal(size=(3000, 384)), rng.normal(size=(1000, 384))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), None) for i, v in enumerate(x)], "id long, vec array<float>, views array<array<float>>")
+    monkeypatch.setattr(knn, "PART_ROWS", 10)
+    units = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = knn.exact_nearest(np.arange(4000), units, np.arange(0, 3000, 15), 5)
+    for part_rows, least in ((4000, 1.0), (1000, 0.9)):
+        found = defaultdict(set)
+        for r in knn.nearest(df, k=5, part_rows=part_rows).collect():
+            found[r["id"]].add(r["neighbour"])
+        assert np.mean([j in found[q] for q, near in want.items() for j, _ in near]) >= least - 0.002
+
+
 def test_nearest_odd_rows_and_copies(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=384).tolist()
