@@ -225,7 +225,7 @@ def spread_activation(spark, sf_dir):
 
 def _spread(spark, sf_dir):
     seeds = graph.valid_nodes(_nodes(spark, sf_dir)).where("id % 20 = 0").select(F.col("id").alias("q"), F.col("id").alias("seed"), F.lit(1.0).alias("spike"))
-    return activate.spread(seeds, cut(_resonant(spark, sf_dir)), hops=3)
+    return activate.spread(seeds, cut(_resonant(spark, sf_dir)))
 
 
 _ACT = "av AS (SELECT q, node, least(greatest(sum(spike), 0), 1) AS activation, min(depth * 1000000 + rank) AS arrival FROM sp WHERE spike >= 0.03 GROUP BY q, node), pl AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY activation DESC, node) AS place FROM av)"

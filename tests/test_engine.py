@@ -89,6 +89,19 @@ def test_connect_and_hyperedges(spark):
     assert len(made) == 1 and made[0]["members"] == list(range(16)) and made[0]["weight"] == 0.5
 
 
+def test_spread_activation_goes_on_to_the_floor(spark, sf, tmp_path):
+    nodes = spark.read.parquet(f"{sf}/nodes.parquet")
+    one = nodes.where(F.col("id") == graph.valid_nodes(nodes).first()["id"]).limit(1)
+    one.drop("id").crossJoin(spark.range(20, 34)).select(nodes.columns).write.parquet(str(tmp_path / "nodes.parquet"))
+    edges = spark.read.parquet(f"{sf}/edges.parquet")
+    row = edges.where("src is not null").limit(1).drop("src", "dst", "adj_idx", "weight", "type")
+    chain = row.crossJoin(spark.range(20, 33).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(0).alias("adj_idx"), F.lit(1.0).alias("weight"), F.lit("ASSOC").alias("type")))
+    chain.select([F.col(c).cast(edges.schema[c].dataType) for c in edges.columns]).write.parquet(str(tmp_path / "edges.parquet"))
+    found = {(r["node"], r["depth"]) for r in entry.queries()["spread_activation"](spark, str(tmp_path)).collect()}
+    # .72 ** 11 is above the floor of an entry (.024), but below that of spreading (.03).
+    assert found == {(20 + k, k) for k in range(12)}
+
+
 def test_spectral_coords_has_all_axes(spark, sf, monkeypatch):
     asked = {}
 
