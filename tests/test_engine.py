@@ -79,6 +79,22 @@ def test_causal_paths_are_cheapest(spark):
     assert got.keys() == best.keys() and all(abs(got[k] - best[k]) < 1e-9 for k in best)
 
 
+def test_causal_path_whole_goes_16_nodes_far(spark, sf):
+    edges = graph.connect(spark.read.parquet(f"{sf}/edges.parquet"), spark.read.parquet(f"{sf}/nodes.parquet"))
+    usable = [(r["src"], r["dst"], r["c"]) for r in edges.select("src", "dst", reason.causal_cost(F.col("weight"), F.col("type")).alias("c")).where("c is not null").collect()]
+    got = {(r["source"], r["node"]): r["cost"] for r in entry.queries()["causal_path_whole"](spark, sf).collect()}
+    want = {(s, s): 0.0 for s, _ in got}
+    for _ in range(15):
+        before = dict(want)
+        for (s, node), cost in before.items():
+            for a, b, c in usable:
+                if a == node:
+                    want[s, b] = min(want.get((s, b), 1e9), cost + c)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    bounded = {(r["source"], r["node"]): r["cost"] for r in entry.queries()["causal_path"](spark, sf).collect()}
+    assert len(bounded) < len(got) or any(bounded[k] > got[k] + 1e-5 for k in bounded)
+
+
 def test_connect_and_hyperedges(spark):
     nodes = spark.createDataFrame([(i,) for i in range(5)], "id long")
     rows = [(0, 1, 0, 0.5, "A", None), (0, 1, 3, 2.0, "B", None), (1, 1, 0, 0.5, "A", None), (0, 9, 1, 0.5, "A", None), (2, 3, 0, None, "A", None)]
