@@ -372,6 +372,12 @@ def pagerank_weighted(spark, sf_dir):
     return rank.pagerank(_nodes(spark, sf_dir), _edges(spark, sf_dir), rounds=5).select("node", F.round(F.col("rank") * 1000, 6).alias("rank"), F.round("importance", 6).alias("importance"))
 
 
+@query()
+def pagerank_whole(spark, sf_dir):
+    """PageRank by the operator's own rule, up to 20 rounds; ``pagerank_weighted`` and its SQL have 5."""
+    return rank.pagerank(_nodes(spark, sf_dir), _edges(spark, sf_dir)).select("node", F.round(F.col("rank") * 1000, 6).alias("rank"), F.round("importance", 6).alias("importance"))
+
+
 def _power_sql(rounds: int) -> str:
     out = f"WITH {O.CE}, ns AS (SELECT DISTINCT id AS node FROM nodes), x0 AS (SELECT node, 1 / sqrt((SELECT count(*) FROM ns)::DOUBLE) AS x FROM ns)"
     for k in range(1, rounds + 1):

@@ -105,6 +105,26 @@ def test_connect_and_hyperedges(spark):
     assert len(made) == 1 and made[0]["members"] == list(range(16)) and made[0]["weight"] == 0.5
 
 
+def test_pagerank_whole_runs_to_its_own_rule(spark, sf):
+    nodes = spark.read.parquet(f"{sf}/nodes.parquet")
+    edges = [tuple(r) for r in graph.connect(spark.read.parquet(f"{sf}/edges.parquet"), nodes).select("src", "dst", "weight").collect()]
+    ids = [r["id"] for r in nodes.select("id").distinct().collect()]
+    degree = {}
+    for a, _, _ in edges:
+        degree[a] = degree.get(a, 0) + 1
+    want = {i: 1 / len(ids) for i in ids}
+    for _ in range(20):
+        raw = {i: 0.15 / len(ids) for i in ids}
+        for a, b, w in edges:
+            raw[b] += 0.85 * want[a] * w / degree[a]
+        fresh = {i: x / sum(raw.values()) for i, x in raw.items()}
+        change, want = sum(abs(fresh[i] - want[i]) for i in ids), fresh
+        if change < 1e-6:
+            break
+    got = {r["node"]: r["rank"] for r in entry.queries()["pagerank_whole"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - 1000 * want[i]) < 2e-6 for i in ids)
+
+
 def test_spread_activation_goes_on_to_the_floor(spark, sf, tmp_path):
     nodes = spark.read.parquet(f"{sf}/nodes.parquet")
     one = nodes.where(F.col("id") == graph.valid_nodes(nodes).first()["id"]).limit(1)
