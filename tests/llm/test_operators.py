@@ -244,7 +244,7 @@ def test_nearest_recall_against_brute_force(spark):
 
 def test_nearest_of_large_parts(spark, monkeypatch):
     rng = np.random.default_rng(3)
-    # A dense family of unlike vectors and others; parts hold about ten times the rows of a task.
+    # A dense family of unlike vectors and others; the bound of a task's rows is lowered far below a part's.
     x = np.concatenate([rng.normal(size=384) + rng.normal(size=(3000, 384)), rng.normal(size=(1000, 384))]).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist(), None) for i, v in enumerate(x)], "id long, vec array<float>, views array<array<float>>")
     monkeypatch.setattr(knn, "PART_ROWS", 10)
