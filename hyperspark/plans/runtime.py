@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,6 +43,26 @@ def ship(spark: SparkSession) -> None:
     context._hyperspark_shipped = True
 
 
+def below_share(share: float, *columns: str, seed: int = 0) -> Column:
+    """Whether the 64-bit hash of ``columns`` is among the lowest ``share`` of all hashes; never empty for a share of 2⁻⁶³ or more."""
+    top = 2**63 - 1 if share >= 1 else int(-(2**63) + share * 2**64)
+    return F.xxhash64(*columns, F.lit(seed)) <= F.lit(top)
+
+
+def hash_sample(df: DataFrame, by: str, rows: int, seed: int = 0) -> DataFrame:
+    """``rows`` rows of different ``by``, those of the lowest hashes: the same rows in any layout and at any size.
+
+    One pass estimates the number of different values, a second keeps little more than the sample, so no text
+    outside the sample is shuffled. Of rows with one ``by`` the smallest stays.
+    """
+    h = F.xxhash64(by, F.lit(seed))
+    there = df.where(F.col(by).isNotNull())
+    n = max(there.agg(F.approx_count_distinct(h, 0.02)).first()[0], 1)
+    others = [c for c in df.columns if c != by]
+    few = there.where(below_share(1.25 * rows / n, by, seed=seed)).groupBy(by).agg(F.min(F.struct(*others) if others else F.lit(1)).alias("__rest"))
+    return few.orderBy(h, by).limit(rows).select(by, *[F.col("__rest")[c].alias(c) for c in others])
+
+
 def hot_keys(df: DataFrame, key: str, share: float = 0.02) -> DataFrame:
     """Keys that hold more than ``share`` of the rows: at most ``1 / share`` of them, so safe to broadcast."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))

@@ -351,3 +351,19 @@ def test_query_against_sql(spark, sf, name):
     want = [tuple(r[names.index(c)] for c in columns) for r in result.fetchall()]
     plain = [tuple(float(x) if hasattr(x, "quantize") else x for x in r) for r in want]
     assert canonical(rows) == canonical(plain)
+
+
+# --- samples by hash
+
+
+def test_hash_sample_is_bounded_and_the_same_in_any_layout(spark):
+    from hyperspark.plans.runtime import below_share, hash_sample
+
+    df = spark.range(4000).selectExpr("cast(id % 1000 as string) as k", "id as v").union(spark.sql("select cast(null as string), 1L"))
+    once = {tuple(r) for r in hash_sample(df, "k", 50, seed=3).collect()}
+    assert len(once) == 50 and all(v == int(k) for k, v in once)
+    assert once == {tuple(r) for r in hash_sample(df.repartition(7, "v"), "k", 50, seed=3).collect()}
+    assert hash_sample(df.where("k = '1'"), "k", 50).count() == 1 and hash_sample(df.limit(0), "k", 50).count() == 0
+    # At 10¹¹ rows a sample of 6,000 has a share of 6e-8; so has it here, of a hash with 64 bits.
+    assert abs(spark.range(50_000_000).where(below_share(6000 / 1e11, "id")).count() - 3) <= 7
+    assert spark.range(1000).where(below_share(1.0, "id")).count() == 1000
