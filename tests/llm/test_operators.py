@@ -323,6 +323,20 @@ def test_reading_edge_cases(spark):
     assert reading.reading_levels(df.drop("reading_level"), labels.limit(0)).count() == 0
 
 
+def test_reading_lists_are_document_frequency_lists():
+    words = np.array([1, 2, 3, 4], np.int64)
+    held = np.array([[100.0, 0, 0, 0], [4.9, 0, 0, 0], [0, 5.0, 0, 0], [3.0, 3, 3, 3]])
+    made = reading.lists_of(words, held, np.full((len(reading.LANGUAGES), 4), 100.0))
+    assert dict(zip(made.words.tolist(), made.bits.tolist())) == {1: 0b10001, 3: 0b00010}
+    outside = made.outside(np.array([0, 0]), np.array([2, 4]), np.array([1, 2, 1, 1, 3, 4], np.int64))
+    assert outside[0].tolist() == [0.5, 1, 1, 1, 0.5] and outside[1].tolist() == [0.5, 0.75, 1, 1, 0.5]
+
+
+def test_reading_has_two_kinds_of_terms():
+    terms = reading.terms_of(np.full((1, 5), 0.25), np.array([50]), np.array([5]))
+    assert terms.shape == (1, 5) and terms[0, :4].tolist() == [0.25] * 4 and terms[0, 4] == np.log(11)
+
+
 # --- queries
 
 
