@@ -9,15 +9,20 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``; a temporary one only in local mode, where that is unset."""
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    # A checkpoint is deleted once nothing refers to it, unless the cluster says otherwise.
+    context._jsc.sc().conf().setIfMissing("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="hyperspark-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -63,27 +68,42 @@ def hash_sample(df: DataFrame, by: str, rows: int, seed: int = 0) -> DataFrame:
     return few.orderBy(h, by).limit(rows).select(by, *[F.col("__rest")[c].alias(c) for c in others])
 
 
-def hot_keys(df: DataFrame, key: str, share: float = 0.02) -> DataFrame:
-    """Keys that hold more than ``share`` of the rows: at most ``1 / share`` of them, so safe to broadcast."""
+#: A key is never split below so many rows; splitting costs more than it saves there.
+LEAST_HOT_ROWS = 20_000
+
+
+def hot_keys(df: DataFrame, key: str) -> dict | None:
+    """Keys that hold more rows than a task should, with the number of tasks each is to be spread over; None if there are none.
+
+    A task should hold the rows over the shuffle partitions, so there are fewer hot keys than partitions, at any size.
+    Two columns of counts reach the driver, and the rows of hot keys only where there are some.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    return counts.where(F.col("__n") > counts.agg(F.sum("__n")).scalar() * share).select(key)
+    total, most = counts.agg(F.sum("__n"), F.max("__n")).first()
+    share = max((total or 0) / parts, LEAST_HOT_ROWS)
+    if (most or 0) <= share:
+        return None
+    return {r[0]: int(-(-r[1] // share)) for r in counts.where(F.col("__n") > share).collect()}
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", share: float = 0.02, salts: int = 32, salt_by: str | None = None) -> DataFrame:
-    """Equi-join on one column whose hot keys in ``left`` are spread over ``salts`` tasks.
+def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", salt_by: str | None = None, hot: dict | None | str = "find") -> DataFrame:
+    """Equi-join on one column whose hot keys in ``left`` are spread over as many tasks as their rows need.
 
-    Only the right rows of hot keys (at most ``1 / share`` keys) are repeated; all other rows move once.
-    ``salt_by`` names the left column whose hash picks the salt (default: the whole row). ``how`` is
-    ``inner``, ``left``, ``left_semi`` or ``left_anti``. Null keys match nothing.
+    Only the right rows of hot keys are repeated; all other rows move once, and without hot keys this is a plain
+    join. ``salt_by`` names the left column whose hash picks the task (default: the whole row); ``hot`` are the
+    keys as :func:`hot_keys` gives them, if they are known. ``how`` is ``inner``, ``left``, ``left_semi`` or
+    ``left_anti``. Null keys match nothing.
     """
-    hot = F.broadcast(cut(hot_keys(left, key, share)).withColumn("__hot", F.lit(True)))
-    salt = F.pmod(F.xxhash64(*([salt_by] if salt_by else left.columns)), F.lit(salts)).cast("int")
-    marked = left.join(hot, key, "left").withColumn("__salt", F.when(F.col("__hot"), salt).otherwise(0)).drop("__hot")
-    repeated = (
-        right.join(hot, key, "left")
-        .withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-        .drop("__hot")
-    )
+    if hot == "find":
+        hot = hot_keys(left, key)
+    if not hot:
+        return left.join(right, key, how)
+    kind = left.select(key).schema[0].dataType
+    spread = F.broadcast(left.sparkSession.createDataFrame([(k, n) for k, n in hot.items()], StructType([StructField(key, kind), StructField("__salts", IntegerType())])))
+    salt = F.pmod(F.xxhash64(*([salt_by] if salt_by else left.columns)), F.col("__salts")).cast("int")
+    marked = left.join(spread, key, "left").withColumn("__salt", F.coalesce(salt, F.lit(0))).drop("__salts")
+    repeated = right.join(spread, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
     return marked.join(repeated, [key, "__salt"], how).drop("__salt")
 
 
