@@ -1,17 +1,20 @@
 """The most similar vectors of every vector, by learned partitions.
 
 On a bounded sample a neighbour graph is made exactly and cut into balanced parts (recursive median splits,
-then moves to the part most neighbours are in, within a capacity). A small softmax classifier learns from a
-vector the parts its neighbours lie in, and routes every vector of the collection to its most probable parts.
-Vectors that share a part are compared exactly, block by block, and the best of all parts are kept. A part
-that would hold too many vectors is spread over tasks, one for each pair of its blocks, so all of it is compared.
+then moves to the part most neighbours are in, within a capacity), and a small softmax classifier learns from a
+vector the parts its neighbours lie in. Each part is cut again in the same way, into cells, with a classifier of
+its own, from a fresh sample of the part's vectors. Every vector of the collection is routed to the cells that
+are most probable by both levels, those of several parts competing; this is so at every size, only the numbers
+of parts and cells grow, both as the square root of the collection. Vectors that share a cell are compared
+exactly, block by block, and the best of all cells are kept. A cell that would hold too many vectors is spread
+over tasks, one for each pair of its blocks, so all of it is compared.
 
 Exact copies are one signature: they are routed and compared once and expanded at the end, so a large group
 of copies costs no more than one vector.
 
 Defined results: vectors that are null, of another length, not finite or all zero are replaced by their views
 if these fit, else left out; ties are broken by the smaller id; a vector has fewer neighbours than ``k`` if
-its parts hold fewer; an empty table gives no rows.
+its cells hold fewer; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,13 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperspark.plans.runtime import cut, ship, skew_join
+from hyperspark.plans.runtime import below_share, cut, hash_sample, ship, skew_join
 
-#: Rows of the training sample (a bound), vectors a part should hold, parts a vector is routed to, most parts learned.
-SAMPLE_ROWS = 16_384
+#: Rows of the sample the parts are learned from (a bound), vectors a cell should hold, cells a vector is routed to,
+#: most cells (50 MB of classifiers), and sampled vectors for each cell.
+SAMPLE_ROWS = 4096
 PART_ROWS = 400
 PROBES = 3
-MAX_PARTS = 2048
+MAX_CELLS = 65_536
+CELL_SAMPLE = 16
+#: Rows of a block of a cell that is spread over tasks.
+TASK_ROWS = 3600
 TRAIN_SEED = 7
 #: Precision in which unit vectors travel: 1 / SCALE, an error of a cosine of about 1e-5.
 SCALE = 32_767
@@ -153,51 +160,89 @@ def balanced_parts(units: np.ndarray, graph: np.ndarray, parts: int, sweeps: int
 
 
 @dataclass
-class Router:
-    """Part scores ``x @ weights + bias``; ``blocks`` has the number of blocks of parts that are spread over tasks."""
+class Level:
+    """A softmax classifier of vectors: ``x @ weights + bias``."""
 
     weights: np.ndarray
     bias: np.ndarray
+
+    def scores(self, units: np.ndarray) -> np.ndarray:
+        """Log probabilities of the classes."""
+        found = units @ self.weights.astype(np.float32) + self.bias
+        found -= found.max(1, keepdims=True)
+        return found - np.log(np.exp(found).sum(1, keepdims=True))
+
+
+@dataclass
+class Router:
+    """Two levels of learned parts; ``cells`` has each part's classifier, its cells numbered from ``first`` on.
+
+    ``blocks`` has the number of blocks of cells that are spread over tasks.
+    """
+
+    parts: Level
+    cells: list[Level]
+    first: np.ndarray
     blocks: dict[int, int]
 
     def route(self, units: np.ndarray, probes: int) -> np.ndarray:
-        """The ``probes`` most probable parts of each vector."""
-        scores = units @ self.weights + self.bias
-        probes = min(probes, scores.shape[1])
-        return np.argpartition(-scores, probes - 1, axis=1)[:, :probes].astype(np.int64)
-
-    def tasks(self, ids: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(row, key)`` of the tasks of each row: its part, or all pairs of blocks of the part that hold the row's block."""
-        rows, keys = [], []
-        for part in np.unique(parts):
-            row = np.nonzero(parts == part)[0]
-            count = self.blocks.get(int(part), 1)
-            own, other = np.repeat(block_of(ids[row], count), count), np.tile(np.arange(count), len(row))
-            rows.append(np.repeat(row, count))
-            keys.append(int(part) << 2 * BLOCK_BITS | np.minimum(own, other) << BLOCK_BITS | np.maximum(own, other))
-        return np.concatenate(rows), np.concatenate(keys)
-
-
-def block_of(ids: np.ndarray, count: int) -> np.ndarray:
+        """The ``probes`` most probable cells of each vector (-1 where there are fewer): those of the most probable parts compete together."""
+        of_part = self.parts.scores(units)
+        wide = min(probes, of_part.shape[1])
+        chosen = np.argpartition(-of_part, wide - 1, axis=1)[:, :wide]
+        cells = np.full((len(units), wide * probes), -1, np.int64)
+        value = np.full((len(units), wide * probes), -np.inf, np.float32)
+        order = np.argsort(chosen, axis=None, kind="stable")
+        part, row, column = chosen.ravel()[order], order // wide, order % wide
+        edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
+        for start, stop in zip(edges[:-1], edges[1:]):
+            p, rows = int(part[start]), row[start:stop]
+            own = self.cells[p].scores(units[rows]) + of_part[rows, p][:, None]
+            few = min(probes, own.shape[1])
+            best = np.argpartition(-own, few - 1, axis=1)[:, :few]
+            at = column[start:stop][:, None] * probes + np.arange(few)
+            cells[rows[:, None], at] = self.first[p] + best
+            value[rows[:, None], at] = np.take_along_axis(own, best, 1)
+        best = np.argpartition(-value, probes - 1, axis=1)[:, :probes] if value.shape[1] > probes else np.tile(np.arange(value.shape[1]), (len(units), 1))
+        return np.take_along_axis(cells, best, 1)
+
+    def tasks(self, ids: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(row, key)`` of the tasks of each row: its cells, or all pairs of blocks of a cell that hold the row's block."""
+        row, cell = np.repeat(np.arange(len(ids)), cells.shape[1]), cells.ravel()
+        row, cell = row[cell >= 0], cell[cell >= 0]
+        count = np.ones(len(cell), np.int64)
+        if self.blocks:
+            sizes = np.ones(int(self.first[-1]), np.int64)
+            sizes[list(self.blocks)] = list(self.blocks.values())
+            count = sizes[cell]
+        own = np.repeat(block_of(ids[row], count), count)
+        other = np.arange(count.sum()) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
+        row, cell = np.repeat(row, count), np.repeat(cell, count)
+        return row, cell << 2 * BLOCK_BITS | np.minimum(own, other) << BLOCK_BITS | np.maximum(own, other)
+
+
+def block_of(ids: np.ndarray, count: np.ndarray | int) -> np.ndarray:
     h = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)).astype(np.int64) % count
 
 
-def blocks_of(rows: float, probes: int) -> int:
-    """Blocks of a part of so many rows: 1 up to twice a block's rows, so that no task holds more."""
-    most = 3 * PART_ROWS * probes
-    return 1 if rows <= 2 * most else min(int(np.ceil(rows / most)), 1 << BLOCK_BITS)
+def blocks_of(rows: float) -> int:
+    """Blocks of a cell of so many rows: 1 up to twice a block's rows, so that no task holds more."""
+    return 1 if rows <= 2 * TASK_ROWS else min(int(np.ceil(rows / TASK_ROWS)), (1 << BLOCK_BITS) - 1)
 
 
-def train_router(units: np.ndarray, parts: int, total: int, probes: int, epochs: int = 8) -> Router:
-    """Learn the parts and the classifier from sampled unit vectors; ``total`` is the size of the collection."""
+def train_level(units: np.ndarray, parts: int, epochs: int = 8) -> Level:
+    """Learn balanced parts of the neighbour graph of sampled unit vectors, and the classifier that finds them."""
     n, dim = units.shape
+    parts = max(1, min(parts, n // 4))
+    if parts == 1:
+        return Level(np.zeros((dim, 1), np.float32), np.zeros(1, np.float32))
     graph = neighbour_graph(units, 10)
     label = balanced_parts(units, graph, parts)
     target = np.zeros((n, parts), np.float32)
     target[np.arange(n), label] += 1.0
     for column in range(graph.shape[1]):
-        np.add.at(target, (np.arange(n), label[graph[:, column]]), 0.5 / graph.shape[1] * 2)
+        np.add.at(target, (np.arange(n), label[graph[:, column]]), 1.0 / graph.shape[1])
     target /= target.sum(1, keepdims=True)
     sizes = np.maximum(np.bincount(label, minlength=parts), 1)
     centres = np.zeros((parts, dim), np.float32)
@@ -214,11 +259,61 @@ def train_router(units: np.ndarray, parts: int, total: int, probes: int, epochs:
             slope = (scores - target[rows]) / len(rows)
             weights -= rate / (1 + epoch) * (units[rows].T @ slope) * parts**0.5
             bias -= 0.1 * rate / (1 + epoch) * slope.sum(0)
-    router = Router(weights, bias, {})
-    # Parts that would hold far more than the rest are compared in pairs of blocks; their sizes come from the sample.
-    routed = router.route(units, probes)
-    share = np.bincount(routed.ravel(), minlength=parts) / max(len(routed), 1)
-    router.blocks |= {part: count for part in range(parts) if (count := blocks_of(share[part] * total, probes)) > 1}
+    return Level(weights, bias)
+
+
+def train_router(coded: DataFrame, total: int, dim: int, probes: int, part_rows: int, sample_rows: int) -> Router:
+    """Learn parts on the driver from at most ``sample_rows`` vectors, and each part's cells in a task of its own.
+
+    Cells have ``part_rows`` vectors, up to ``MAX_CELLS`` of them; a part's cells are learned from its own vectors of
+    a sample of ``CELL_SAMPLE`` for each cell. Samples are of different codes, so many copies count as one.
+    """
+    spark = coded.sparkSession
+    wanted = int(min(MAX_CELLS, max(1, round(total / part_rows))))
+    codes = coded.select("code")
+    first = hash_sample(codes, "code", sample_rows, seed=3).toArrow()
+    units = unpack([x.as_py() for x in first.column(0)], dim)
+    parts = train_level(units, max(1, int(np.ceil(wanted**0.5))))
+    n_parts = parts.bias.size
+    per_part = -(-wanted // n_parts)
+    coarse = spark.sparkContext.broadcast(parts)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = batch.column(0).to_pylist()
+            if blobs:
+                # Vectors near a border belong to both sides, as they will be looked for there.
+                scores = coarse.value.scores(unpack(blobs, dim))
+                near = np.argpartition(-scores, min(1, n_parts - 1), axis=1)[:, :2].ravel() if n_parts > 1 else np.zeros(len(blobs), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), batch.column(0).take(pa.array(np.repeat(np.arange(len(blobs)), len(near) // len(blobs))))], ["part", "code"])
+
+    def learn(frame: pa.Table) -> pa.Table:
+        own = np.unique(unpack([x.as_py() for x in frame.column("code")], dim), axis=0)
+        level = train_level(own, per_part)
+        return pa.table([frame.column("part").slice(0, 1), pa.array([level.weights.astype(np.float16).tobytes()], pa.binary()), pa.array([level.bias.astype(np.float32).tobytes()], pa.binary())], names=["part", "weights", "bias"])
+
+    sample_share = min(1.0, max(sample_rows, CELL_SAMPLE * wanted) / total)
+    sample = cut(codes.where(below_share(sample_share, "code", seed=4)).distinct())
+    blank = Level(np.zeros((dim, 1), np.float32), np.zeros(1, np.float32))
+    cells = [blank] * n_parts
+    if per_part > 1:
+        for r in sample.mapInArrow(placed, "part int, code binary").groupBy("part").applyInArrow(learn, "part int, weights binary, bias binary").collect():
+            bias = np.frombuffer(r["bias"], np.float32)
+            cells[r["part"]] = Level(np.frombuffer(r["weights"], np.float16).reshape(dim, len(bias)), bias)
+    router = Router(parts, cells, np.concatenate([[0], np.cumsum([c.bias.size for c in cells])]), {})
+    model = spark.sparkContext.broadcast(router)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = batch.column(0).to_pylist()
+            if blobs:
+                found = model.value.route(unpack(blobs, dim), probes)
+                cell, n = np.unique(found[found >= 0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], ["cell", "n"])
+
+    # Cells that would hold far more than the rest are compared in pairs of blocks; their sizes come from the sample.
+    sizes = sample.mapInArrow(counted, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    router.blocks |= {r["cell"]: count for r in sizes if (count := blocks_of(r["n"] / sample_share)) > 1}
     return router
 
 
@@ -275,14 +370,7 @@ def nearest(
     if total == 0:
         return spark.createDataFrame([], "id bigint, neighbour bigint, similarity float, rank int")
     copies = cut(skew_join(light, sizes.where("rows > 1").select("h", "sig"), "h", salt_by="id").select("sig", "id").distinct())
-    part_count = int(min(MAX_PARTS, max(1, round(total * probes / (part_rows * probes)))))
-    share = min(1.0, sample_rows / total)
-    cut_at = int(-(2**63) + share * 2**64) if share < 1 else 2**63 - 1
-    sampled = coded.where(F.xxhash64("id", F.lit(3)) <= F.lit(cut_at)).select("code").limit(sample_rows * 2).toArrow()
-    blobs = [x.as_py() for x in sampled.column(0)]
-    units = np.unique(unpack(blobs, dim), axis=0) if blobs else np.zeros((0, dim), np.float32)
-    part_count = max(1, min(part_count, len(units) // 8))
-    router = train_router(units, part_count, total, probes) if part_count > 1 else Router(np.zeros((dim, 1), np.float32), np.zeros(1, np.float32), {0: blocks_of(total, 1)})
+    router = train_router(coded, total, dim, probes, part_rows, sample_rows)
     model = spark.sparkContext.broadcast(router)
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +400,9 @@ def nearest(
             found = [np.concatenate(x) for x in zip(top_between(ids[a], units[a], ids[~a], units[~a], k, least), top_between(ids[~a], units[~a], ids[a], units[a], k, least))]
         return pa.table([pa.array(found[0]), pa.array(found[1]), pa.array(found[2].astype(np.float32))], names=["id", "neighbour", "similarity"])
 
-    found = kept.mapInArrow(routed, "part bigint, id bigint, code binary").groupBy("part").applyInArrow(within, "id bigint, neighbour bigint, similarity float")
+    # Cells differ in size; twice the partitions even their tasks out.
+    tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = kept.mapInArrow(routed, "part bigint, id bigint, code binary").repartition(tasks, "part").groupBy("part").applyInArrow(within, "id bigint, neighbour bigint, similarity float")
     # A row has at most ``k`` neighbours of each of its tasks: its parts, or the blocks of those that are spread.
     merged = found.groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
     best = merged.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("d"), "neighbour"))), 1, k).alias("near"))
@@ -326,7 +416,7 @@ def _expanded(best: DataFrame, copies: DataFrame, k: int) -> DataFrame:
     first = copies.withColumn("n", F.row_number().over(Window.partitionBy("sig").orderBy("id"))).where(F.col("n") <= k + 1)
     few = first.groupBy("sig").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     pairs = best.select(F.col("id").alias("sig"), F.explode("near").alias("e")).select("sig", F.col("e.neighbour").alias("other"), (-F.col("e.d")).alias("similarity"))
-    widened = pairs.join(few.select(F.col("sig").alias("other"), "ids"), "other", "left").select("sig", F.explode(F.coalesce("ids", F.array("other"))).alias("neighbour"), "similarity")
+    widened = skew_join(pairs, few.select(F.col("sig").alias("other"), "ids"), "other", "left", salt_by="sig").select("sig", F.explode(F.coalesce("ids", F.array("other"))).alias("neighbour"), "similarity")
     own = few.where(F.size("ids") > 1).select("sig", F.explode("ids").alias("neighbour"), F.lit(1.0).cast("float").alias("similarity"))
     by_signature = cut(widened.union(own))
     # Many copies of one signature: its few neighbours are joined to the copies spread over tasks.

@@ -242,12 +242,24 @@ def test_nearest_recall_against_brute_force(spark):
     assert len(hits) > 200 and np.mean(hits) >= 0.9
 
 
+def test_nearest_of_many_cells(spark):
+    x = clustered(3000, seed=5).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), None) for i, v in enumerate(x)], "id long, vec array<float>, views array<array<float>>")
+    found = defaultdict(set)
+    for r in knn.nearest(df, k=5, part_rows=25, sample_rows=1000).collect():  # 11 parts of 11 cells
+        found[r["id"]].add(r["neighbour"])
+    units = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = knn.exact_nearest(np.arange(3000), units, np.arange(0, 3000, 20), 5)
+    hits = [j in found[q] for q, near in want.items() for j, s in near if s >= 0.7]
+    assert len(hits) > 200 and np.mean(hits) >= 0.95
+
+
 def test_nearest_of_large_parts(spark, monkeypatch):
     rng = np.random.default_rng(3)
     # A dense family of unlike vectors and others; the bound of a task's rows is lowered far below a part's.
     x = np.concatenate([rng.normal(size=384) + rng.normal(size=(3000, 384)), rng.normal(size=(1000, 384))]).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist(), None) for i, v in enumerate(x)], "id long, vec array<float>, views array<array<float>>")
-    monkeypatch.setattr(knn, "PART_ROWS", 10)
+    monkeypatch.setattr(knn, "TASK_ROWS", 90)
     units = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = knn.exact_nearest(np.arange(4000), units, np.arange(0, 3000, 15), 5)
     for part_rows, least in ((4000, 1.0), (1000, 0.9)):
