@@ -129,6 +129,29 @@ def test_hidden_limit_in_bytes(spark):
     assert ("utf8", 96) in {(r["form"], r["length"]) for r in found.collect()}
 
 
+def test_limits_belong_to_sources(spark):
+    rng = random.Random(2)
+    words = ["market", "shop", "coin", "price", "bread", "town", "stands", "near", "under", "wheel"]
+    data, texts = [], {}
+    for source in range(40):
+        for i in range(20):
+            text = " ".join(rng.choice(words) for _ in range(rng.randrange(6, 30))).capitalize() + "."
+            if source % 4 == 0:  # a quarter of the sources cut at 80 characters after escaping
+                while len(text.replace("&", "&amp;")) > 80:
+                    text = text[:-1]
+            data.append((len(data), text, f"s/{source}.txt" if source else None))
+    # One source alone stops at 70, in a tenth of its 300 texts; another has no limit but a whole text of 80 characters.
+    data += [(5000 + i, (" ".join(rng.choice(words) for _ in range(30)) if i % 10 == 0 else "The coin stands near the market.")[:70], "own.txt") for i in range(300)]
+    df = spark.createDataFrame(data, "sample_id long, query string, source string").withColumn("doc_id", F.lit(None).cast("string")).withColumn("form", F.lit("x"))
+    made = truncation.judge(df)
+    limits = {(r["file"], r["length"]) for r in made.limits.where("form = 'chars'").collect()}
+    assert {(f"s/{x}.txt", 80) for x in range(4, 40, 4)} <= limits and ("own.txt", 70) in limits
+    assert not any(f == f"s/{x}.txt" for f, _ in limits for x in range(40) if x % 4)
+    assert {r["evidence"] for r in made.verdicts.where("damaged").collect()} >= {"limit"}
+    by = {r["source"]: r for r in truncation.damage_by_source(df, None).collect()}
+    assert by["s/4.txt"]["limit_length"] == 80 and by["s/4.txt"]["n_damaged"] > 5 and by["s/5.txt"]["limit_length"] is None and by["own.txt"]["n_damaged"] >= 25  # a cut that falls on a blank is one shorter
+
+
 # --- language
 
 
