@@ -6,12 +6,12 @@ clause mark and within a clause. Scores of a word are worked out once per distin
 forward-backward runs for thousands of lines at a time. Stretches are runs of one label; the confidence of a
 stretch is the mean posterior of its words.
 
-The field is trained on a bounded sample of labelled texts (``TRAIN_ROWS``), lines that look like program
-code, and lines joined from texts of two languages; a first pass throws out texts whose label it doubts.
+The field is trained on a bounded sample of labelled texts (``TRAIN_ROWS``, different texts of the lowest hashes),
+lines of program code found by a mixture of prose and code (``code_lines``), and lines joined from texts of two
+languages; a first pass, trained on other texts of the sample, throws out texts whose label it doubts.
 
-Defined results: null and blank texts give no rows; lines without words give no rows; lines of more than
-``LONGEST`` words are labelled in pieces of that length; repeated rows count once; labels that name no
-language are missing labels.
+Defined results: null and blank texts give no rows; lines without words give no rows; lines of any length are
+labelled whole; repeated rows count once; labels that name no language are missing labels.
 """
 
 from __future__ import annotations
@@ -26,28 +26,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperspark.plans.runtime import ship
+from hyperspark.llm.code_lines import CODE_SEEDS, is_code, learn_code
+from hyperspark.plans.runtime import hash_sample, ship
 
+#: Bounds of what the field is trained on: labelled texts, texts whose lines of code are learned, lines of code.
 TRAIN_ROWS = 6000
+CODE_TEXTS = 2000
 TRAIN_CODE_LINES = 600
 FEATURES = 1 << 17
+#: Words of a text that are trained on; all are labelled.
 LONGEST = 512
 CACHE_WORDS = 200_000
 #: Words a stretch in a further language must have, and its least confidence.
 CLAUSE_WORDS = 3
 CLAUSE_CONFIDENCE = 0.7
+#: Parts of the labelled texts that are judged by the field of the others, and the confidence in another language from which on a label is thrown out.
+FOLDS = 5
+SURE = 0.5
 CODE = "code"
 
 WIDE = re.compile(r"([぀-ヿ㐀-鿿豈-﫿]+)")
-CODE_LINE = r"^\s*(#include|import|from|def|class|for|while|if|return|const|let|var|function|public|static|void|int|print|select|SELECT)\b.*[(){};=\[\]]|[;{}]\s*$"
 CLAUSE_END = tuple(".!?。！？।…:;)—–")
-#: A few lines of program code, so that code is known where the tables hold none.
-CODE_SEEDS = (
-    "for (int i = 0; i < n; i++) { total += values[i]; }", "def area(width, height): return width * height", "while (node != NULL) { node = node->next; }",
-    "const names = rows.map(r => r.name).filter(x => x.length > 3);", "import os; path = os.path.join(root, name); print(path)", "if (count >= limit) { break; } return count % 10;",
-    "public static void main(String[] args) { System.out.println(args[0]); }", "SELECT name, count(*) FROM items WHERE price > 10 GROUP BY name;", "let x = items.reduce((a, b) => a + b, 0);",
-    "#include <stdio.h>", "x = [i * 2 for i in range(10) if i % 3 == 0]", "class Point: pass", "try { run(); } catch (Exception e) { log(e); }", "var total = 0; total += sum(list);", "function add(a, b) { return a + b; }", "print(max(values), len(names))",
-)
 
 
 def words_of(line: str) -> list[str]:
@@ -155,7 +154,7 @@ def _padded(lists: list[np.ndarray], fill) -> np.ndarray:
 
 
 def train(sequences: list[tuple[list[str], list[int]]], labels: int, rounds: int = 40, start: Field | None = None) -> Field:
-    """Fit the field to labelled word sequences by full-batch gradient steps with adaptive rates."""
+    """Fit the field to labelled word sequences by full-batch gradient steps with adaptive rates; features seen a few times only take small steps."""
     kinds: dict[str, int] = {}
     encoded = [np.array([kinds.setdefault(t, len(kinds)) for t in tokens], np.int64) for tokens, _ in sequences]
     lists = [features(t) for t in kinds]
@@ -206,7 +205,7 @@ def train(sequences: list[tuple[list[str], list[int]]], labels: int, rounds: int
         for i, slope in enumerate([slope_weights / total + 1e-6 * weights, slope_tables[0] / total, slope_tables[1] / total]):
             first[i] = 0.9 * first[i] + 0.1 * slope
             second[i] = 0.99 * second[i] + 0.01 * slope**2
-            params[i] -= 0.06 * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-9)
+            params[i] -= 0.06 * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 2e-5)
     out = np.zeros((FEATURES, labels), np.float32)
     out[used] = weights
     return Field(out, tables[0], tables[1])
@@ -241,11 +240,8 @@ class Labeller:
 
     def label(self, lines: list[list[str]]) -> list[list[tuple[int, int, float]]]:
         """For each line its stretches ``(label, words, confidence)``, in order."""
-        pieces, owner = [], []
-        for i, line in enumerate(lines):
-            for at in range(0, len(line), LONGEST):
-                pieces.append(line[at : at + LONGEST])
-                owner.append(i)
+        owner = [i for i, line in enumerate(lines) if line]
+        pieces = [lines[i] for i in owner]
         out: list[list[tuple[int, int, float]]] = [[] for _ in lines]
         if not pieces:
             return out
@@ -316,29 +312,37 @@ def language_names(languages: DataFrame) -> tuple[list[str], dict[str, int], int
     return codes, names, next((i for i, r in enumerate(rows) if r[1] == CODE), None)
 
 
-def train_on(texts: DataFrame, code_lines: DataFrame | None, names: dict[str, int], n_labels: int, code_label: int | None, rows: int = TRAIN_ROWS) -> Field:
-    """Train on at most ``rows`` labelled texts ``(text, lang)`` chosen by hash, and on lines of program code."""
-    usable = texts.where("trim(text) <> '' and lang is not null").dropDuplicates(["text"])
-    total = max(usable.count(), 1)
-    share = min(1.0, rows / total)
-    picked = usable.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * rows).collect()
+def train_on(texts: DataFrame, prose: DataFrame | None, names: dict[str, int], n_labels: int, code_label: int | None, rows: int = TRAIN_ROWS) -> Field:
+    """Train on ``rows`` labelled texts ``(text, lang)`` chosen by hash, and on lines of program code of the texts ``prose (text)``."""
+    named = F.lower(F.trim("lang")).isin(*names)
+    picked = hash_sample(texts.where(named & (F.trim("text") != "")).select("text", "lang"), "text", rows, seed=6).collect()
     sequences = []
     for text, lang in sorted((r["text"], r["lang"]) for r in picked):
-        label = names.get(lang.strip().lower())
         tokens = words_of(text.replace("\n", " "))[:LONGEST]
-        if label is not None and tokens:
-            sequences.append((tokens, [label] * len(tokens)))
+        if tokens:
+            sequences.append((tokens, [names[lang.strip().lower()]] * len(tokens)))
     if code_label is not None:
         lines = list(CODE_SEEDS)
-        if code_lines is not None:
-            lines += sorted(r[0] for r in code_lines.where(F.col("line").rlike(CODE_LINE)).select("line").limit(TRAIN_CODE_LINES).collect())
+        if prose is not None:
+            sampled = sorted(r["text"] for r in hash_sample(prose.where(F.trim("text") != "").select("text"), "text", CODE_TEXTS, seed=7).collect())
+            code = learn_code(sampled)
+            lines += sorted({x for t in sampled for x in t.split("\n") if x.strip() and is_code(x, code)})[:TRAIN_CODE_LINES]
         sequences += [(t, [code_label] * len(t)) for t in (words_of(x)[:LONGEST] for x in lines) if t]
     rng = np.random.default_rng(11)
     if not sequences:
         return Field(np.zeros((FEATURES, n_labels), np.float32), np.zeros((n_labels, n_labels)), np.zeros((n_labels, n_labels)))
-    field = train(sequences, n_labels, rounds=6)
-    doubt = Labeller(field).label([t for t, _ in sequences])
-    clean = [s for s, found in zip(sequences, doubt) if max(found, key=lambda x: x[1])[0] == s[1][0]] or sequences
+    clean, field = [], None
+    for fold in range(FOLDS):
+        own, other = sequences[fold::FOLDS], [s for i, s in enumerate(sequences) if i % FOLDS != fold] or sequences
+        field = train(other, n_labels, rounds=6)
+        if not own:
+            continue
+        doubt = Labeller(field).label([t for t, _ in own])
+        for s, found in zip(own, doubt):
+            label, _, confidence = max(found, key=lambda x: x[1])
+            if label == s[1][0] or confidence < SURE:
+                clean.append(s)
+    clean = clean or sequences
     mixed = []
     for _ in range(len(clean) // 3):
         (a, la), (b, lb) = clean[int(rng.integers(len(clean)))], clean[int(rng.integers(len(clean)))]
@@ -353,7 +357,7 @@ def train_on(texts: DataFrame, code_lines: DataFrame | None, names: dict[str, in
             a[-1] = a[-1].rstrip(".。") or a[-1]
             b[0], b[-1] = "(" + b[0], b[-1].rstrip(".") + ")"
         mixed.append((a + b, [la[0]] * len(a) + [lb[0]] * len(b)))
-    return train(clean + mixed, n_labels, rounds=24, start=field)
+    return train(clean + mixed, n_labels, rounds=40)
 
 
 def _labelled(batches: Iterator[pa.RecordBatch], model, codes: list[str], names: dict[str, int], only_doubtful: bool) -> Iterator[pa.RecordBatch]:

@@ -49,8 +49,8 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _segments(spark: SparkSession, sf_dir: str, only_doubtful: bool = False) -> DataFrame:
     codes, names, code = language.language_names(table(spark, sf_dir, "languages"))
     labelled = table(spark, sf_dir, "samples").select(F.col("query").alias("text"), "lang")
-    lines = table(spark, sf_dir, "conversions").select(F.explode(F.split("plain_text", "\n")).alias("line"))
-    return language.segments(_texts(spark, sf_dir), language.train_on(labelled, lines, names, len(codes), code), codes, names, only_doubtful)
+    prose = table(spark, sf_dir, "conversions").select(F.col("plain_text").alias("text"))
+    return language.segments(_texts(spark, sf_dir), language.train_on(labelled, prose, names, len(codes), code), codes, names, only_doubtful)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
