@@ -20,12 +20,12 @@ def concepts(documents: DataFrame, key: str, text: str, most_frequent: int = 500
     N and df count sentences of the document; only its ``most_frequent`` terms are scored (ties: first met) and ``keep`` of them
     returned; positions are the first five word numbers. Texts without words give no rows.
     """
-    words = numbered_sentences(documents, key, text).select(key, "n_sentences", "sent_no", F.posexplode(T.concept_words(F.col("sentence"))).alias("i", "term"))
-    lengths = words.groupBy(key, "sent_no").agg(F.count(F.lit(1)).alias("n"))
-    before = lengths.withColumn("before", F.sum("n").over(Window.partitionBy(key).orderBy("sent_no")) - F.col("n")).drop("n")
-    placed = words.join(before, [key, "sent_no"]).withColumn("pos", F.col("before") + F.col("i")).where(~F.col("term").isin(T.DOCUMENT_STOPWORDS))
-    per_sentence = placed.groupBy(key, "term", "sent_no").agg(F.count(F.lit(1)).alias("c"), F.max("n_sentences").alias("n_sentences"), F.slice(F.sort_array(F.collect_list("pos")), 1, 5).alias("p"))
-    terms = per_sentence.groupBy(key, "term").agg(F.sum("c").alias("tf"), F.count(F.lit(1)).alias("df"), F.max("n_sentences").alias("n_sentences"), F.slice(F.sort_array(F.flatten(F.collect_list("p"))), 1, 5).alias("positions"))
+    # Documents are placed by key once; word numbers are facts of a row, and all that follows stays in place.
+    placed = documents.where(T.normalise_space(F.col(text)) != "").select(key, text).repartition(key).select(key, T.sentences(T.normalise_space(F.col(text))).alias("__s"))
+    split = placed.select(key, F.size("__s").alias("n_sentences"), F.transform("__s", T.concept_words).alias("__w"))
+    numbered = F.flatten(F.transform("__w", lambda words, n: F.transform(words, lambda w: F.struct(n.alias("sent_no"), w.alias("term")))))
+    words = split.select(key, "n_sentences", F.posexplode(numbered).alias("pos", "e")).select(key, "n_sentences", "pos", "e.*").where(~F.col("term").isin(T.DOCUMENT_STOPWORDS))
+    terms = words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.size(F.collect_set("sent_no")).alias("df"), F.max("n_sentences").alias("n_sentences"), F.slice(F.sort_array(F.collect_list("pos")), 1, 5).alias("positions"))
     common = terms.withColumn("__f", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("tf"), F.col("positions")[0]))).where(F.col("__f") <= most_frequent)
     scored = common.withColumn("score", F.round(F.col("tf") * F.log(F.col("n_sentences") / F.col("df") + 1), 9))
     ranked = scored.withColumn("concept_rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "__f"))).where(F.col("concept_rank") <= keep)

@@ -59,11 +59,11 @@ def vocabulary_embed(rows: DataFrame, key: str, text: str, vocabulary: DataFrame
     """``(key, v)``: unit weighted means of word vectors, weights ``1.1 / (1 + .05 i)`` by place among the first ``limit`` words; texts without
     a known word are left out (they take n-gram vectors). ``vocabulary (word, v)`` is joined, never gathered."""
     from hyperspark.functions import vector as V
-    from hyperspark.operators.hyper import sums_to_vectors, vector_sums
+    from hyperspark.operators.hyper import vector_sums
 
     words = rows.where(F.col(text).isNotNull()).select(key, F.posexplode(T.tokens(F.col(text), limit)).alias("i", "word"))
     held = words.join(vocabulary, "word").withColumn("weight", 1.1 / (1 + 0.05 * F.col("i")))
-    means = sums_to_vectors(vector_sums(held, key, "v", "weight"), key, "v")
+    means = vector_sums(held, key, "v", "weight", "v")
     if projection is None:
         return means.select(key, V.normalise(F.col("v")).alias("v"))
     shared = rows.sparkSession.sparkContext.broadcast(projection)

@@ -536,7 +536,7 @@ def episodic_recall(spark, sf_dir):
 @query(f"WITH {O.VN}, {O.HM}, lg AS (SELECT edge_id, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM m16 JOIN vn ON vn.id = m16.node), s AS (SELECT edge_id, list(s ORDER BY d) AS s FROM (SELECT edge_id, d, avg(x) AS s FROM lg GROUP BY edge_id, d) GROUP BY edge_id) SELECT edge_id, round(s[1] / sqrt(list_dot_product(s, s)), 6) AS first FROM s")
 def episode_vectors(spark, sf_dir):
     rows = _members(spark, sf_dir).join(_vectors(spark, sf_dir), "node").withColumn("one", F.lit(1.0))
-    v = hyper.sums_to_vectors(hyper.vector_sums(rows, "edge_id", "v", "one"), "edge_id", "v")
+    v = hyper.vector_sums(rows, "edge_id", "v", "one", "v")
     return v.select("edge_id", F.round(F.get(V.normalise(F.col("v")), F.lit(0)), 6).alias("first"))
 
 
@@ -555,7 +555,7 @@ def ema_counters(spark, sf_dir):
 def domain_centroid(spark, sf_dir):
     rows = _embeddings(spark, sf_dir)
     sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    v = hyper.sums_to_vectors(hyper.vector_sums(rows.withColumn("one", F.lit(1.0)), "label", "v", "one"), "label", "s").join(sizes, "label").select("label", V.scale(F.col("s"), 1 / F.col("n")).alias("v"))
+    v = hyper.vector_sums(rows.withColumn("one", F.lit(1.0)), "label", "v", "one", "s").join(sizes, "label").select("label", V.scale(F.col("s"), 1 / F.col("n")).alias("v"))
     return v.select("label", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(V.norm(F.col("v")), 6).alias("length"))
 
 
