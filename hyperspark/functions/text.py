@@ -246,7 +246,7 @@ def causal_rule(sentence: Column) -> Column:
     low = F.lower(sentence)
     rules = []
     for pattern, template in CAUSAL_PATTERNS:
-        a, b = F.regexp_extract(low, pattern, 1), F.regexp_extract(low, pattern, 2)
+        a, b = F.regexp_extract(low, "(?U)" + pattern, 1), F.regexp_extract(low, "(?U)" + pattern, 2)
         fine = (F.length(a) > 2) & (F.length(b) > 2) & ~a.isin(DOCUMENT_STOPWORDS) & ~b.isin(DOCUMENT_STOPWORDS)
         rules.append(F.when(fine, F.format_string(template, a, b)))
     return F.coalesce(*rules, F.lit(""))
@@ -281,3 +281,39 @@ def markdown_text(text: Column) -> Column:
     for pattern, by in steps:
         text = F.regexp_replace(text, pattern, by)
     return text
+
+
+#: Names of the edge types, in prose and in exports, in order of their numbers.
+EDGE_TYPES = ("ASSOC", "CAUSAL", "SYNONYM", "ANTONYM", "INSTANCE", "PART_OF", "CAUSES", "INHIBITORY", "TEMPORAL", "SPATIAL", "CODE", "VISUAL", "CONTRADICTS", "SUPPORTS")
+EDGE_PROSE = ("associated with", "causes", "synonym of", "antonym of", "instance of", "part of", "leads to", "inhibits", "before", "located at", "code relation", "visual link", "contradicts", "supports")
+EDGE_EXPORT = ("assoc", "causal", "synonym", "antonym", "instance", "part_of", "causes", "inhibitory", "temporal", "spatial", "code", "visual", "contradicts", "supports")
+
+
+def edge_type_name(kind: Column, prose: bool = True) -> Column:
+    """Display name of an edge type, with or without the prefix ``EDGE_``; ``unknown`` for others and null."""
+    names = dict(zip(EDGE_TYPES, EDGE_PROSE if prose else EDGE_EXPORT))
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(F.element_at(table, F.regexp_replace(F.upper(kind), "^EDGE_", "")), F.lit("unknown"))
+
+
+def valid_utf8(raw: Column) -> Column:
+    """Whether bytes up to the first zero byte are sequences of a start byte and its continuation bytes; null is not.
+
+    Surrogates and overlong forms that start with E0 or F0 pass, C0, C1 and start bytes above F4 don't.
+    """
+    letters = F.regexp_replace(F.decode(raw, "ISO-8859-1"), "(?s)\\x00.*", "")
+    rest = F.regexp_replace(letters, "[\\x01-\\x7F]+|[\\xC2-\\xDF][\\x80-\\xBF]|[\\xE0-\\xEF][\\x80-\\xBF]{2}|[\\xF0-\\xF4][\\x80-\\xBF]{3}", "")
+    return F.coalesce(rest == "", F.lit(False))
+
+
+def normalise_form(text: Column) -> Column:
+    """Compatibility composition (NFKC), then white space collapsed; plain ASCII never leaves the JVM's plan."""
+    import unicodedata
+
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def composed(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    return normalise_space(F.when(text.rlike("^\\p{ASCII}*$"), text).otherwise(composed(text)))

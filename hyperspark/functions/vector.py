@@ -158,3 +158,23 @@ def ngram_vectors(texts: list[str | None], dim: int = DEFAULT.embed_dim) -> np.n
 def unit_rows(rows: np.ndarray) -> np.ndarray:
     lengths = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.divide(rows, lengths, out=rows.copy(), where=lengths > 1e-12)
+
+
+#: What a vector is scaled by for its language.
+LANGUAGE_SCALE = {"LANG_HINDI": 1.15, "LANG_ARABIC": 1.15, "LANG_CODE": 0.92, "LANG_MIXED": 0.95}
+
+
+def language_scale(lang: Column) -> Column:
+    """Scale of a language, 1 for others; normalising afterwards cancels it."""
+    table = F.create_map(*[F.lit(x) for pair in LANGUAGE_SCALE.items() for x in pair])
+    return F.coalesce(F.element_at(table, lang), F.lit(1.0))
+
+
+def safe_add_u32(a: Column, b: Column) -> Column:
+    """Sum of two unsigned 32-bit numbers, null if it doesn't fit."""
+    return F.when(a + b <= 0xFFFFFFFF, a + b)
+
+
+def safe_multiply(a: Column, b: Column) -> Column:
+    """Product of two numbers, null if it doesn't fit 64 bits."""
+    return F.try_multiply(a.cast("long"), b.cast("long"))

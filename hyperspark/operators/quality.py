@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hyperspark.config import DEFAULT
-from hyperspark.plans.runtime import ship
+from hyperspark.plans.runtime import hash_sample, ship
 
 #: Rows of the training sample; a bound, whatever the size of the graph.
 SAMPLE_ROWS = 4096
@@ -19,9 +19,8 @@ SAMPLE_ROWS = 4096
 
 def sample_vectors(nodes: DataFrame, id_column: str = "id", vector: str = "v", rows: int = SAMPLE_ROWS, seed: int = 1) -> np.ndarray:
     """At most ``rows`` vectors chosen by the hash of their ids, in order of ids."""
-    total = max(nodes.count(), 1)
-    share = min(1.0, rows / total)
-    picked = nodes.where(F.pmod(F.xxhash64(id_column, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)).select(id_column, vector).limit(2 * rows).toPandas().sort_values(id_column)
+    chosen = hash_sample(nodes.select(id_column), id_column, rows, seed)
+    picked = nodes.select(id_column, vector).join(F.broadcast(chosen), id_column).dropDuplicates([id_column]).toPandas().sort_values(id_column)
     return np.vstack(picked[vector].to_list()) if len(picked) else np.zeros((0, 0))
 
 

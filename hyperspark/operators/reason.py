@@ -52,17 +52,17 @@ def causal_cost(weight, kind):
 
 
 def causal_paths(sources: DataFrame, edges: DataFrame, max_len: int = DEFAULT.max_chain_len) -> DataFrame:
-    """``(source, node, cost, strength, hops)``: cheapest paths from each source, of at most ``max_len`` nodes.
+    """``(source, node, cost, strength, hops, path)``: cheapest paths from each source, of at most ``max_len`` nodes, and their nodes in order.
 
     ``sources (source)``, ``edges (src, dst, weight, type)``. Each round relaxes all frontier edges at once and keeps the
     cheapest way per (source, node); it ends when nothing improves.
     """
     usable = cut(edges.select("src", "dst", causal_cost(F.col("weight"), F.col("type")).alias("c"), "weight").where("c is not null"))
-    best = cut(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(1.0).alias("strength"), F.lit(0).alias("hops")))
+    best = cut(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(1.0).alias("strength"), F.lit(0).alias("hops"), F.array(F.col("source").cast("long")).alias("path")))
     frontier = best
     for hop in range(1, max_len):
-        steps = frontier.withColumnRenamed("node", "src").join(usable, "src").select("source", F.col("dst").alias("node"), F.round(F.col("cost") + F.col("c"), 12).alias("cost"), (F.col("strength") * F.col("weight")).alias("strength"), F.lit(hop).alias("hops"))
-        cheapest = steps.groupBy("source", "node").agg(F.min_by(F.struct("cost", "strength", "hops"), F.struct("cost", -F.col("strength"))).alias("s")).select("source", "node", "s.*")
+        steps = frontier.withColumnRenamed("node", "src").join(usable, "src").select("source", F.col("dst").alias("node"), F.round(F.col("cost") + F.col("c"), 12).alias("cost"), (F.col("strength") * F.col("weight")).alias("strength"), F.lit(hop).alias("hops"), F.concat("path", F.array(F.col("dst").cast("long"))).alias("path"))
+        cheapest = steps.groupBy("source", "node").agg(F.min_by(F.struct("cost", "strength", "hops", "path"), F.struct("cost", -F.col("strength"), "path")).alias("s")).select("source", "node", "s.*")
         known = best.select("source", "node", F.col("cost").alias("known"))
         frontier = cut(cheapest.join(known, ["source", "node"], "left").where("known is null or cost < known").drop("known"))
         if frontier.isEmpty():

@@ -75,7 +75,8 @@ def domain(column: str) -> str:
 
 def causal(column: str) -> str:
     parts = []
-    for pattern, template in T.CAUSAL_PATTERNS:
+    for ascii_pattern, template in T.CAUSAL_PATTERNS:
+        pattern = ascii_pattern.replace("\\w", "[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]")
         a, b = f"regexp_extract(lower({column}), {q(pattern)}, 1)", f"regexp_extract(lower({column}), {q(pattern)}, 2)"
         parts.append(f"CASE WHEN length({a}) > 2 AND length({b}) > 2 AND {a} NOT IN {values(T.DOCUMENT_STOPWORDS)} AND {b} NOT IN {values(T.DOCUMENT_STOPWORDS)} THEN printf({q(template)}, {a}, {b}) END")
     return f"coalesce({', '.join(parts)}, '')"
