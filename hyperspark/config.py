@@ -8,7 +8,6 @@ from dataclasses import dataclass
 @dataclass(frozen=True)
 class EngineConfig:
     embed_dim: int = 384
-    view_dim: int = 128
     n_views: int = 3
     resonance_threshold: float = 0.12
     spike_decay: float = 0.72
@@ -18,8 +17,6 @@ class EngineConfig:
     max_hops: int = 12
     max_chain_len: int = 16
     max_chains: int = 8
-    max_activated: int = 1024
-    max_neighbors: int = 256
     fast_ring_cap: int = 2048
     fast_ring_boost: float = 1.15
     max_edge_nodes: int = 16
@@ -49,7 +46,6 @@ class EngineConfig:
     seeds: int = 16
     # Periods of maintenance, in queries.
     prune_every: int = 25
-    temporal_every: int = 50
     pagerank_every: int = 100
     ae_every: int = 200
     pacbayes_every: int = 200

@@ -6,7 +6,9 @@ Null texts give null unless a function says otherwise; lengths are counted in ch
 from __future__ import annotations
 
 import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -308,9 +310,6 @@ def valid_utf8(raw: Column) -> Column:
 
 def normalise_form(text: Column) -> Column:
     """Compatibility composition (NFKC), then white space collapsed; plain ASCII never leaves the JVM's plan."""
-    import unicodedata
-
-    import pandas as pd
 
     @F.pandas_udf("string")
     def composed(values: pd.Series) -> pd.Series:

@@ -562,11 +562,17 @@ def domain_centroid(spark, sf_dir):
 # --- persistence and models ------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {O.VN}, {O.CE}, {O.HM} SELECT kind, count(*) AS n FROM (SELECT 'node' AS kind FROM nodes WHERE type IS NULL OR type <> 'PRUNED' UNION ALL SELECT 'edge' FROM ce WHERE dst > src UNION ALL SELECT 'hyper' FROM m16 a JOIN m16 b ON a.edge_id = b.edge_id AND a.pos < b.pos) GROUP BY kind""")
+@query(f"""WITH {O.VN}, {O.CE}, {O.HM} SELECT 'node' AS kind, id AS a, NULL::BIGINT AS b, label AS name, round(vec[1]::DOUBLE, 4) + 0.0 AS value FROM nodes WHERE type IS NULL OR type <> 'PRUNED' UNION ALL SELECT 'edge', src, dst, type, round(weight, 6) FROM ce WHERE dst > src
+ UNION ALL SELECT 'hyper', a.node, b.node, a.edge_id::VARCHAR, NULL FROM m16 a JOIN m16 b ON a.edge_id = b.edge_id AND a.pos < b.pos UNION ALL SELECT 'stats', (SELECT count(*) FROM nodes WHERE type IS NULL OR type <> 'PRUNED'), (SELECT count(*) FROM ce), NULL, (SELECT round(avg(entropy_score), 6) FROM nodes WHERE type IS NULL OR type <> 'PRUNED')""")
 def graph_json(spark, sf_dir):
+    """Every line of the exported graph, read back from its JSON."""
     from hyperspark.sources.sinks import graph_json as export
 
-    return export(_nodes(spark, sf_dir), _edges(spark, sf_dir), _members(spark, sf_dir)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    lines = export(_nodes(spark, sf_dir), _edges(spark, sf_dir), _members(spark, sf_dir))
+    got = lambda path: F.get_json_object("json", "$." + path)
+    a = F.coalesce(got("id"), got("src"), got("a"), got("nodes")).cast("long")
+    b = F.coalesce(got("dst"), got("b"), got("edges")).cast("long")
+    return lines.select("kind", a.alias("a"), b.alias("b"), F.when(F.col("kind") == "node", got("label")).when(F.col("kind") == "edge", got("type")).otherwise(got("edge_id")).alias("name"), (F.coalesce(got("vec[0]"), got("weight"), got("mean_entropy")).cast("double") + 0.0).alias("value"))
 
 
 @query("""SELECT src, dst, round(w, 6) AS weight FROM (SELECT src, dst, weight AS w, row_number() OVER (PARTITION BY src, dst ORDER BY seq DESC) AS k FROM (SELECT user_id AS src, event_id % 50 AS dst, value AS weight, event_id AS seq, event_type FROM events) WHERE event_type <> 'error' AND seq % 17 <> 0) WHERE k = 1 AND src NOT IN (SELECT id FROM (SELECT user_id AS id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events WHERE event_type IN ('signup', 'error') AND event_id % 17 <> 0) WHERE k = 1 AND event_type = 'error')
@@ -594,9 +600,11 @@ def ae_scores(spark, sf_dir):
 @query()
 def vae_candidates(spark, sf_dir):
     """New vectors around each language's centroid, with their novelty against all nodes; those below .15 are dropped."""
-    nodes = cut(graph.valid_nodes(_nodes(spark, sf_dir)).select("id", "v"))
-    x = quality.sample_vectors(nodes)
-    made = quality.candidates(quality.train_generator(x), x.mean(0), 8)
-    fresh = spark.createDataFrame(pd.DataFrame({"id": -1 - np.arange(len(made)), "v": made.tolist()}), "id long, v array<double>")
+    nodes = cut(graph.valid_nodes(_nodes(spark, sf_dir)).select("id", "v", F.coalesce("lang", F.lit("LANG_UNKNOWN")).alias("lang")))
+    model = quality.train_generator(quality.sample_vectors(nodes))
+    # There are fifteen languages at most, so at most as many centroids.
+    centres = hyper.vector_sums(nodes.withColumn("one", F.lit(1.0)), "lang", "v", "one", "v").orderBy("lang").collect() if model is not None else []
+    made = [v for r in centres for v in quality.candidates(model, V.unit_rows(np.array([r["v"]]))[0], 32).tolist()]
+    fresh = spark.createDataFrame(pd.DataFrame({"id": -1 - np.arange(len(made)), "v": made}), "id long, v array<double>")
     near = topk.topk_join(fresh, nodes, 1)
     return near.select(F.col("q").alias("candidate"), F.col("id").alias("nearest"), F.round(1 - F.col("sim"), 6).alias("novelty")).where("novelty >= 0.15")

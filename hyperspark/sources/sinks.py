@@ -23,14 +23,18 @@ def write_corpus(sentences: DataFrame, path: str, column: str = "sentence", leas
 
 
 def graph_json(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:
-    """``(kind, json)`` lines of a graph: live nodes with the first 32 numbers of their vectors, pair edges with ``dst > src``,
-    and the member pairs of hyperedges (at most 16 members each)."""
-    n = nodes.where("type is null or type <> 'PRUNED'").select(F.lit("node").alias("kind"), F.to_json(F.struct("id", "label", "type", F.transform(F.slice("vec", 1, 32), lambda x: F.round(x.cast("double"), 4)).alias("vec"))).alias("json"))
+    """``(kind, json)`` lines of a graph: a line of figures, live nodes with the first 32 numbers of their vectors and their view
+    weights, pair edges with ``dst > src``, and the member pairs of hyperedges (at most 16 members each)."""
+    live = nodes.where("type is null or type <> 'PRUNED'")
+    weights = [F.transform("view_weights", lambda x: F.round(x, 4)).alias("view_weights")] if "view_weights" in nodes.columns else []
+    figures = live.agg(F.count(F.lit(1)).alias("nodes"), F.round(F.avg("entropy_score"), 6).alias("mean_entropy")).withColumn("edges", edges.agg(F.count(F.lit(1))).scalar())
+    s = figures.select(F.lit("stats").alias("kind"), F.to_json(F.struct("nodes", "edges", "mean_entropy")).alias("json"))
+    n = live.select(F.lit("node").alias("kind"), F.to_json(F.struct("id", "label", "type", *weights, F.transform(F.slice("vec", 1, 32), lambda x: F.round(x.cast("double"), 4)).alias("vec"))).alias("json"))
     e = edges.where("dst > src").select(F.lit("edge"), F.to_json(F.struct("src", "dst", F.round("weight", 6).alias("weight"), "type")))
     a = members.where("pos <= 16").select("edge_id", F.col("pos").alias("pa"), F.col("node").alias("a"))
     b = members.where("pos <= 16").select("edge_id", F.col("pos").alias("pb"), F.col("node").alias("b"))
     h = a.join(b, "edge_id").where("pa < pb").select(F.lit("hyper"), F.to_json(F.struct("edge_id", "a", "b")))
-    return n.union(e).union(h)
+    return s.union(n).union(e).union(h)
 
 
 def save_snapshot(tables: dict[str, DataFrame], path: str, version: int) -> str:
@@ -77,7 +81,77 @@ def replay(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+#: Size of a log from which on it is folded into a snapshot.
+LOG_BYTES = 512 * 1024 * 1024
+
+
+def _files(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def log_size(spark: SparkSession, path: str) -> int:
+    """Bytes of a log; 0 if there is none."""
+    where, files = _files(spark, path)
+    return int(files.getContentSummary(where).getLength()) if files.exists(where) else 0
+
+
+def drop_log(spark: SparkSession, path: str) -> None:
+    where, files = _files(spark, path)
+    files.delete(where, True)
+
+
+def folded(tables: dict[str, DataFrame], log: DataFrame) -> dict[str, DataFrame]:
+    """A snapshot's tables after the log: nodes and edges it adds or prunes, weights it sets; other columns and tables stay, new rows have nulls there.
+
+    Nodes need ``id`` and ``label``, edges ``src``, ``dst`` and ``weight``.
+    """
+    good = log.where(F.col("crc") == checksum())
+    added, weights = replay(log)
+    gone = good.where("op in ('ADD_NODE', 'PRUNE_NODE')").groupBy(F.col("id_a").alias("id")).agg(F.max_by("op", "seq").alias("op")).where("op = 'PRUNE_NODE'").select("id")
+    nodes = tables["nodes"].join(gone, "id", "left_anti")
+    nodes = nodes.unionByName(added.join(nodes.select("id"), "id", "left_anti"), allowMissingColumns=True)
+    held = tables.get("edges", weights.limit(0))
+    old = held.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    changed = old.join(weights.withColumnRenamed("weight", "__new"), ["src", "dst"], "left").withColumn("weight", F.coalesce("__new", "weight")).drop("__new")
+    edges = changed.unionByName(weights.join(old.select("src", "dst"), ["src", "dst"], "left_anti"), allowMissingColumns=True)
+    return tables | {"nodes": nodes, "edges": edges}
+
+
 def compact(spark: SparkSession, snapshot: str, log: str, version: int) -> str:
-    """Fold the log into a new snapshot version of nodes and edges; the caller drops the log afterwards."""
-    nodes, edges = replay(spark.read.parquet(log))
-    return save_snapshot({"nodes": nodes, "edges": edges}, snapshot, version)
+    """Fold the log into a new version of the snapshot, all its tables and columns kept, then drop the log; the first version is the log's alone."""
+    where, files = _files(spark, f"{snapshot}/versions")
+    entries = spark.read.parquet(log)
+    if files.exists(where):
+        tables = folded(load_snapshot(spark, snapshot), entries)
+    else:
+        nodes, edges = replay(entries)
+        tables = {"nodes": nodes, "edges": edges}
+    made = save_snapshot(tables, snapshot, version)
+    drop_log(spark, log)
+    return made
+
+
+def rotate(spark: SparkSession, snapshot: str, log: str, version: int, limit: int = LOG_BYTES) -> str | None:
+    """Compact the log if it has grown over ``limit`` bytes."""
+    return compact(spark, snapshot, log, version) if log_size(spark, log) > limit else None
+
+
+def recover(spark: SparkSession, snapshot: str, log: str) -> dict[str, DataFrame]:
+    """The latest snapshot with what the log holds since."""
+    tables = load_snapshot(spark, snapshot)
+    return folded(tables, spark.read.parquet(log)) if log_size(spark, log) else tables
+
+
+def training_history(steps: DataFrame) -> DataFrame:
+    """The nine columns of a training history in order; ``steps`` holds them in any order, missing ones are null."""
+    names = ("epoch", "sample", "loss", "confidence", "best_resonance", "accuracy", "nodes_added", "edges_added", "elapsed_ms")
+    return steps.select(*[F.col(c) if c in steps.columns else F.lit(None).cast("double").alias(c) for c in names])
+
+
+def samples_json(samples: DataFrame, domain: str, version: str = "4.0") -> DataFrame:
+    """``json``: samples in one envelope for each document of at most 500 samples: version, domain, their number, and the samples in order."""
+    fields = [c for c in ("query", "concepts", "causal_rule", "keywords", "domain", "lang", "difficulty", "source", "doc_id") if c in samples.columns]
+    by = samples.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("samples"))
+    return by.select("doc_id", F.to_json(F.struct(F.lit(version).alias("version"), F.lit(domain).alias("domain"), F.size("samples").alias("n_samples"), "samples")).alias("json"))
