@@ -462,7 +462,15 @@ def _buckets(spark, sf_dir):
     return learn.calibration_buckets(rows, F.col("expected_confidence"), F.col("correct"))
 
 
-@query()
+_PAV_SQL = """WITH RECURSIVE s AS (SELECT DISTINCT sample_id, expected_confidence AS p, causal_rule <> '' AS c FROM samples WHERE expected_confidence IS NOT NULL), b AS (SELECT least(floor(least(greatest(p, 0), 1) * 20), 19)::INT AS i, count(*) FILTER (c) AS h, count(*) AS n FROM s GROUP BY 1),
+ g AS (SELECT r.i, coalesce(h / n, r.i / 20.0::DOUBLE) AS v, coalesce(n, 0) + 1.0::DOUBLE AS w FROM range(0, 20) r(i) LEFT JOIN b ON b.i = r.i), f AS (SELECT 0 AS t, list(v ORDER BY i) AS v, list(w ORDER BY i) AS w FROM g),
+ pv AS (SELECT t, v, w FROM f UNION ALL SELECT t + 1, CASE WHEN v[t % 19 + 1] - v[t % 19 + 2] > 1e-6 THEN list_transform(range(1, 21), lambda j: CASE WHEN j IN (t % 19 + 1, t % 19 + 2) THEN (v[t % 19 + 1] * w[t % 19 + 1] + v[t % 19 + 2] * w[t % 19 + 2]) / (w[t % 19 + 1] + w[t % 19 + 2]) ELSE v[j] END) ELSE v END, w FROM pv WHERE t < 380),
+ o AS (SELECT CASE WHEN (SELECT sum(n) FROM b) < 50 THEN list_transform(range(0, 20), lambda j: j / 20.0::DOUBLE) ELSE v END AS v FROM pv WHERE t = 380),
+ q AS (SELECT DISTINCT sample_id, expected_confidence, least(greatest(expected_confidence, 0), 1) * 20 AS place FROM samples WHERE expected_confidence IS NOT NULL)
+ SELECT sample_id, round(v[least(floor(place), 19)::INT + 1] * (1 - (place - least(floor(place), 19))) + v[least(least(floor(place), 19) + 1, 19)::INT + 1] * (place - least(floor(place), 19)), 6) AS calibrated FROM q, o"""
+
+
+@query(_PAV_SQL)
 def calibrated_conf(spark, sf_dir):
     values = learn.isotonic(_buckets(spark, sf_dir).toPandas())
     rows = table(spark, sf_dir, "samples").select("sample_id", "expected_confidence").where("expected_confidence is not null").distinct()
@@ -540,7 +548,16 @@ def episode_vectors(spark, sf_dir):
     return v.select("edge_id", F.round(F.get(V.normalise(F.col("v")), F.lit(0)), 6).alias("first"))
 
 
-@query()
+_WM_SQL = """WITH RECURSIVE r AS (SELECT user_id AS session_id, event_id % 40 AS node, least(abs(value) / 100, 1.0) AS sal, ts, event_id FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL),
+ ev AS (SELECT session_id, node, sal, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY session_id) AS m FROM r),
+ st AS (SELECT DISTINCT session_id, 0::BIGINT AS k, m, []::STRUCT(n BIGINT, s DOUBLE)[] AS held FROM ev UNION ALL
+  SELECT session_id, k, m, CASE WHEN len(list_filter(f, lambda x: x.n = node)) > 0 THEN list_transform(f, lambda x: {'n': x.n, 's': CASE WHEN x.n = node THEN greatest(x.s, sal) ELSE x.s END}) WHEN len(f) < 16 THEN list_append(f, {'n': node, 's': sal})
+   WHEN sal > list_sort(list_transform(f, lambda x: {'s': x.s, 'n': x.n}))[1].s THEN list_append(list_filter(f, lambda x: x.n <> list_sort(list_transform(f, lambda y: {'s': y.s, 'n': y.n}))[1].n), {'n': node, 's': sal}) ELSE f END AS held
+  FROM (SELECT st.session_id, ev.k, st.m, ev.node, ev.sal, list_filter(list_transform(st.held, lambda x: {'n': x.n, 's': x.s * 0.8::DOUBLE}), lambda x: x.s > 0.05) AS f FROM st JOIN ev ON ev.session_id = st.session_id AND ev.k = st.k + 1) z)
+ SELECT session_id, h.n AS node, round(h.s, 6) AS salience FROM (SELECT session_id, unnest(held) AS h FROM st WHERE k = m)"""
+
+
+@query(_WM_SQL)
 def working_memory(spark, sf_dir):
     turns = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("turn"), F.col("event_id") % 40, F.least(F.abs("value") / 100, F.lit(1.0)))
     return memory.working_memory(turns.toDF("session_id", "turn", "node", "salience")).withColumn("salience", F.round("salience", 6))
