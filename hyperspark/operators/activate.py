@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hyperspark.config import DEFAULT, EngineConfig
 from hyperspark.functions import vector as V
-from hyperspark.plans.runtime import cut
+from hyperspark.plans.runtime import cut, hot_keys, skew_join
 
 
 def spread(seeds: DataFrame, edges: DataFrame, hops: int | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
@@ -17,16 +17,17 @@ def spread(seeds: DataFrame, edges: DataFrame, hops: int | None = None, config:
 
     ``seeds`` hold ``(q, seed, spike)``, ``edges`` hold ``(src, dst, adj_idx, weight, type, res)``. A node is claimed by
     the first parent in queue order, then by place in the parent's list, exactly as in a first-in-first-out queue; rows
-    below the spike floor keep their rank but don't spread. A hub's edges are spread over tasks by (seed, node).
+    below the spike floor keep their rank but don't spread. A hub's edges are spread over as many tasks as they need.
     """
     hops = config.max_hops if hops is None else hops
     level = cut(seeds.select("q", "seed", F.col("seed").alias("node"), F.lit(0).alias("depth"), F.lit(1).cast("long").alias("rank"), F.col("spike").cast("double").alias("spike")))
     levels, visited = [level], level.select("q", "seed", "node")
+    hubs = hot_keys(edges, "src")
     for depth in range(1, hops + 1):
         passed = config.spike_decay * F.col("spike") * (0.45 * F.col("res") + 0.45 * F.col("weight") + 0.10)
         passed = F.when(F.col("type").isin("EDGE_INHIBITORY", "INHIBITORY"), F.abs(-0.3 * passed)).otherwise(passed)
         reached = (
-            level.where(F.col("spike") >= config.spike_floor).withColumnRenamed("node", "src").join(edges, "src")
+            skew_join(edges, level.where(F.col("spike") >= config.spike_floor).withColumnRenamed("node", "src"), "src", salt_by="dst", hot=hubs)
             .select("q", "seed", F.col("dst").alias("node"), F.struct("rank", "adj_idx").alias("order"), passed.alias("passed")).where(F.col("passed") >= config.enqueue_floor)
             .join(visited, ["q", "seed", "node"], "left_anti")
             .groupBy("q", "seed", "node").agg(F.min("order").alias("order"), F.min_by("passed", "order").alias("passed"))

@@ -12,6 +12,10 @@ from hyperspark.config import DEFAULT
 from hyperspark.functions import vector as V
 
 
+#: Labels of a bucket when new nodes are numbered.
+BUCKET_LABELS = 100_000
+
+
 def valid_nodes(nodes: DataFrame, dim: int = DEFAULT.embed_dim) -> DataFrame:
     """Nodes whose ``vec`` can be used, with the unit vector ``v``; others are left out."""
     fine = (F.size("vec") == dim) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
@@ -21,14 +25,16 @@ def valid_nodes(nodes: DataFrame, dim: int = DEFAULT.embed_dim) -> DataFrame:
 def add_nodes(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """``nodes (id, label)`` and one new node per distinct new label of ``labels``; ids go on after the largest.
 
-    Labels are numbered in order by counting within hash-ordered partitions, without one global sort.
+    Labels are numbered bucket by bucket, in order within a bucket, without one global sort.
     """
     fresh = labels.select("label").where("trim(label) <> ''").distinct().join(nodes.select("label"), "label", "left_anti")
     start = nodes.agg(F.coalesce(F.max("id"), F.lit(-1))).scalar()
-    prefix = F.substring("label", 1, 2)
-    counts = fresh.groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).select("prefix", "before")
-    numbered = fresh.withColumn("prefix", prefix).join(before, "prefix").withColumn("i", F.row_number().over(Window.partitionBy("prefix").orderBy("label")))
+    # A bucket holds about BUCKET_LABELS labels by hash, so neither a bucket's window nor the running count over buckets grows out of hand.
+    buckets = max(1, -(-fresh.count() // BUCKET_LABELS))
+    placed = fresh.withColumn("bucket", F.pmod(F.xxhash64("label"), F.lit(buckets)))
+    counts = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("bucket", (F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("before"))
+    numbered = placed.withColumn("i", F.row_number().over(Window.partitionBy("bucket").orderBy("label"))).join(before, "bucket")
     made = numbered.select((start + F.col("before") + F.col("i")).alias("id"), "label")
     return nodes.select("id", "label").union(made)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from hyperspark.config import DEFAULT
 from hyperspark.functions import vector as V
+from hyperspark.operators.topk import BLOCK_QUERIES, BLOCK_ROWS
 from hyperspark.plans.runtime import ship
 
 
@@ -37,12 +38,13 @@ def context_blend(turns: DataFrame, session: str = "session_id", order: str = "t
 def recall(episodes: DataFrame, queries: DataFrame, k: int = 4) -> DataFrame:
     """``(q, episode, score, rank)``: ``.85 max(cos, 0) + .15 e^(−age/3600)`` of the ``k`` best episodes of a query.
 
-    ``episodes (episode, v, age)`` with unit vectors and ages in seconds, ``queries (q, v)``; queries meet the episodes in blocks.
+    ``episodes (episode, v, age)`` with unit vectors and ages in seconds, ``queries (q, v)``; queries meet the episodes in blocks of both.
     """
     ship(episodes.sparkSession)
-    blocks = max(1, -(-episodes.count() // 20_000))
-    rows = episodes.select("episode", "v", F.col("age").cast("double").alias("age"), F.pmod(F.xxhash64("episode"), F.lit(blocks)).cast("int").alias("block"), F.lit(None).cast("long").alias("q"))
-    asked = queries.select(F.lit(None).cast("long").alias("episode"), "v", F.lit(0.0).alias("age"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "q")
+    blocks, parts = max(1, -(-episodes.count() // BLOCK_ROWS)), max(1, -(-queries.count() // BLOCK_QUERIES))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = episodes.select("episode", "v", F.col("age").cast("double").alias("age"), F.pmod(F.xxhash64("episode"), F.lit(blocks)).cast("int").alias("block"), each(parts).alias("part"), F.lit(None).cast("long").alias("q"))
+    asked = queries.select(F.lit(None).cast("long").alias("episode"), "v", F.lit(0.0).alias("age"), each(blocks).alias("block"), F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int").alias("part"), "q")
 
     def best(frame: pd.DataFrame) -> pd.DataFrame:
         own, q = frame[frame["q"].isna()].sort_values("episode"), frame[frame["q"].notna()]
@@ -53,7 +55,7 @@ def recall(episodes: DataFrame, queries: DataFrame, k: int = 4) -> DataFrame:
         order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
         return pd.DataFrame({"q": np.repeat(q["q"].astype("int64").to_numpy(), order.shape[1]), "episode": own["episode"].astype("int64").to_numpy()[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
 
-    found = rows.unionByName(asked).groupBy("block").applyInPandas(best, "q long, episode long, score double")
+    found = rows.unionByName(asked).groupBy("block", "part").applyInPandas(best, "q long, episode long, score double")
     w = Window.partitionBy("q").orderBy(F.desc("score"), "episode")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -10,19 +10,23 @@ from pyspark.sql import functions as F
 from hyperspark.plans.runtime import ship
 
 BLOCK_ROWS = 20_000
+#: Queries of a block; a task holds a block of rows and a block of queries.
+BLOCK_QUERIES = 5_000
 
 
 def topk_join(queries: DataFrame, base: DataFrame, k: int, least: float = -2.0, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(q, id, sim, rank)``: for each query the ``k`` rows of ``base`` with the largest dot product, from ``least`` on.
 
-    Both sides hold ``(id long, v array<double>)``. Rows of ``base`` fall into blocks of about ``block_rows``; the
-    queries are sent to each block once and its best rows come back, so no pair of rows is ever shuffled. A row isn't
+    Both sides hold ``(id long, v array<double>)``. Rows of ``base`` fall into blocks of about ``block_rows``, queries
+    into blocks of about 5,000; a task compares one of each and its best rows come back, so no pair of rows is ever shuffled. A row isn't
     its own neighbour; ties go to the smaller id; rows with null or other-length vectors are left out.
     """
     ship(base.sparkSession)
-    blocks = max(1, -(-base.count() // block_rows))
-    rows = base.where("id is not null and v is not null").select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("query"))
-    asked = queries.where("id is not null and v is not null").select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("query"))
+    blocks, parts = max(1, -(-base.count() // block_rows)), max(1, -(-queries.count() // BLOCK_QUERIES))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    rows = base.where("id is not null and v is not null").select("id", "v", own(blocks).alias("block"), each(parts).alias("part"), F.lit(False).alias("query"))
+    asked = queries.where("id is not null and v is not null").select("id", "v", each(blocks).alias("block"), own(parts).alias("part"), F.lit(True).alias("query"))
 
     def best(frame: pd.DataFrame) -> pd.DataFrame:
         q, b = frame[frame["query"]], frame[~frame["query"]].sort_values("id")
@@ -43,7 +47,7 @@ def topk_join(queries: DataFrame, base: DataFrame, k: int, least: float = -2.0,
             out.append(found.groupby("q").head(k))
         return pd.concat(out) if out else empty
 
-    found = rows.union(asked).groupBy("block").applyInPandas(best, "q long, id long, sim double")
+    found = rows.union(asked).groupBy("block", "part").applyInPandas(best, "q long, id long, sim double")
     ranked = found.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("d"), "id"))), 1, k).alias("near"))
     return ranked.select("q", F.posexplode("near").alias("i", "e")).select("q", F.col("e.id").alias("id"), (-F.col("e.d")).alias("sim"), (F.col("i") + 1).alias("rank"))
 
