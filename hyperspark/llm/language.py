@@ -161,6 +161,10 @@ def train(sequences: list[tuple[list[str], list[int]]], labels: int, rounds: int
     owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     flat = np.array([f for x in lists for f in x], np.int64)
     used, slot = np.unique(flat, return_inverse=True)
+    # Features of a word stand together, and so do, in another order, the words of a feature: sums are over runs.
+    of_word = np.concatenate([[0], np.cumsum([len(x) for x in lists])[:-1]])
+    by_feature = np.argsort(slot, kind="stable")
+    of_feature = np.searchsorted(slot[by_feature], np.arange(len(used)))
     order = np.argsort([len(x) for x in encoded], kind="stable")
     batches = []
     for at in range(0, len(order), 2000):
@@ -183,25 +187,23 @@ def train(sequences: list[tuple[list[str], list[int]]], labels: int, rounds: int
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     total = sum(len(x) for x in encoded)
     for step in range(1, rounds + 1):
-        per_kind = np.zeros((len(lists), labels))
-        np.add.at(per_kind, owner, weights[slot])
-        factors = _emissions(per_kind)
-        slope_kind, slope_tables = np.zeros_like(per_kind), [np.zeros_like(t) for t in tables]
+        factors = _emissions(np.add.reduceat(weights[slot], of_word, axis=0))
+        slope_kind, slope_tables = np.zeros_like(factors), [np.zeros_like(t) for t in tables]
         field = Field(weights, tables[0], tables[1])
         for ids, breaks, lengths, truth in batches:
             post, pairs = _forward_backward(factors[ids], breaks, lengths, field, True)
             live = np.arange(ids.shape[1]) < lengths[:, None]
             slope = post[live]
             slope[np.arange(len(slope)), truth[live]] -= 1.0
-            np.add.at(slope_kind, ids[live], slope)
+            words = ids[live]
+            for label in range(labels):
+                slope_kind[:, label] += np.bincount(words, slope[:, label], len(slope_kind))
             after = live[:, 1:]
             for kind in (0, 1):
                 rows = after & (breaks[:, 1:] == bool(kind))
-                seen = np.zeros((labels, labels))
-                np.add.at(seen, (truth[:, :-1][rows], truth[:, 1:][rows]), 1.0)
+                seen = np.bincount(truth[:, :-1][rows] * labels + truth[:, 1:][rows], minlength=labels * labels).reshape(labels, labels)
                 slope_tables[kind] += pairs[kind] - seen
-        slope_weights = np.zeros_like(weights)
-        np.add.at(slope_weights, slot, slope_kind[owner])
+        slope_weights = np.add.reduceat(slope_kind[owner[by_feature]], of_feature, axis=0)
         for i, slope in enumerate([slope_weights / total + 1e-6 * weights, slope_tables[0] / total, slope_tables[1] / total]):
             first[i] = 0.9 * first[i] + 0.1 * slope
             second[i] = 0.99 * second[i] + 0.01 * slope**2
@@ -334,7 +336,7 @@ def train_on(texts: DataFrame, prose: DataFrame | None, names: dict[str, int], n
     clean, field = [], None
     for fold in range(FOLDS):
         own, other = sequences[fold::FOLDS], [s for i, s in enumerate(sequences) if i % FOLDS != fold] or sequences
-        field = train(other, n_labels, rounds=6)
+        field = train(other, n_labels, rounds=5)
         if not own:
             continue
         doubt = Labeller(field).label([t for t, _ in own])
@@ -357,7 +359,7 @@ def train_on(texts: DataFrame, prose: DataFrame | None, names: dict[str, int], n
             a[-1] = a[-1].rstrip(".。") or a[-1]
             b[0], b[-1] = "(" + b[0], b[-1].rstrip(".") + ")"
         mixed.append((a + b, [la[0]] * len(a) + [lb[0]] * len(b)))
-    return train(clean + mixed, n_labels, rounds=40)
+    return train(clean + mixed, n_labels, rounds=20)
 
 
 def _labelled(batches: Iterator[pa.RecordBatch], model, codes: list[str], names: dict[str, int], only_doubtful: bool) -> Iterator[pa.RecordBatch]:
