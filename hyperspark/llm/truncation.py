@@ -197,7 +197,9 @@ def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys.append(key), last.append(_hash(tokens[-1].lower()) ^ PREFIX_SALT)
                 # The last words, the latest first, then the first two; "" stands before a sentence.
                 picked += [*reversed(([""] * (len(tokens) < ORDERS) + tokens)[-ORDERS:]), *["\n"] * max(0, ORDERS - 1 - len(tokens)), tokens[0], tokens[1] if len(tokens) > 1 else ""]
-        table = words.ids[words.places(picked)].reshape(-1, ORDERS + 2) if keys else np.zeros((0, ORDERS + 2), np.uint64)
+        # The places come first: words met here may replace the array of ids by a longer one.
+        places = words.places(picked)
+        table = words.ids[places].reshape(-1, ORDERS + 2)
         table = np.where(table == 1, np.uint64(0), table)
         h, ranks, hashes, owner = table[:, 0], [], [], []
         for rank in range(1, ORDERS + 1):

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +119,15 @@ def test_documents_of_many_texts_are_looked_into(spark):
     assert {k: found[k] for k in range(1, 5)} == {1: True, 2: True, 3: False, 4: False}
 
 
+def test_endings_of_more_words_than_the_first_table_of_words_holds():
+    n = 5000
+    texts = [f"alpha{i} beta{i}" for i in range(n)]
+    made = list(truncation._tails(iter([pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(texts)], ["key", "core"])])))[0].to_pylist()
+    last = {r["key"]: r["h"] for r in made if r["rank"] == 1}
+    assert last == {i: int(np.uint64(truncation._word_id(f"beta{i}")).view(np.int64)) for i in range(n)}
+    assert list(truncation._tails(iter([pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.string())], ["key", "core"])])))[0].num_rows == 0
+
+
 def test_hidden_limit_in_bytes(spark):
     rng = random.Random(1)
     words = ["casa", "perro", "niño", "árbol", "camión", "mesa", "libro"]
