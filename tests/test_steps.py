@@ -1,5 +1,7 @@
 """Small cases of the steps that advance the graph, of the engine's pipeline and of storage."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -173,3 +175,16 @@ def test_registered_functions(spark):
     register(spark)
     r = spark.sql("select resonance_of(0.5D, 1L, 1L, 'LANG_ENGLISH', 'LANG_FRENCH') as a, tokenize('To be, or') as t, vector_dot(array(1D, 2D), array(3D, 4D)) as d, size(ngram_embed('abc')) as n").first()
     assert r["a"] == pytest.approx(0.41) and r["t"] == ["to", "be", ",", "or"] and r["d"] == 11.0 and r["n"] == 384
+
+
+def test_document_links_match_brute_force_without_shuffling_pairs(spark):
+    rng = random.Random(3)
+    # Places with gaps and repeats, a document with one term, one without a key, terms without a node or place.
+    held = [(d, p, rng.randrange(12)) for d in range(6) for p in rng.choices(range(1, 40), k=25)] + [(6, 1, 3), (None, 1, 1), (None, 2, 2), (0, None, 4), (1, 2, None)]
+    vectors = {i: np.array([np.cos(i / 3), np.sin(i / 3)]) for i in range(11)}
+    made = steps.document_links(spark.createDataFrame(held, "d long, place int, node long"), spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "id long, v array<double>"), "d")
+    met = {(a, b) for d, p, a in held for e, q, b in held if None not in (d, p, a, q, b) and d == e and 1 <= p - q <= 8 and a != b and a in vectors and b in vectors}
+    want = {(a, b): round(0.7 * round(min(1.0, float(vectors[a] @ vectors[b])), 9), 6) for a, b in met if vectors[a] @ vectors[b] > 0.25}
+    assert {(r["a"], r["b"]): round(r["weight"], 6) for r in made.collect()} == want
+    # The joins are those of distinct pairs with their two vectors.
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
