@@ -332,6 +332,28 @@ def canonical(rows):
     return sorted(out)
 
 
+def test_causal_costs_are_those_of_paths_without_a_shuffle_of_pairs(spark, monkeypatch):
+    def costs(df):
+        return sorted(tuple(r) for r in df.select("source", "node", "cost").collect())
+
+    rng = random.Random(5)
+    kinds = ["CAUSES", "EDGE_CAUSAL", "INHIBITORY", "CONTRADICTS", "RELATED"]
+    links = [(rng.randrange(60), rng.randrange(60), round(rng.random(), 2), rng.choice(kinds)) for _ in range(220)] + [(70 + i, 71 + i, 0.5, "CAUSES") for i in range(20)] + [(1, 2, None, "CAUSES")]
+    edges = spark.createDataFrame(links, "src long, dst long, weight double, type string")
+    starts = spark.createDataFrame([(i,) for i in (0, 7, 41, 70, 89, 90, 500, -1)], "source long")
+    for most in (2, 16):
+        want = costs(reason.causal_paths(starts, edges, most))
+        assert costs(reason.causal_costs(starts, edges, most)) == want
+    monkeypatch.setattr(reason, "HELD_COSTS", 500)
+    monkeypatch.setattr(reason, "BATCH_ROWS", 7)
+    assert costs(reason.causal_costs(starts, edges)) == want
+    # Costs come from a graph that is sent, not from rounds of joins; a larger graph is joined.
+    assert "Join" not in reason.causal_costs(starts, edges)._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(reason, "SENT_EDGES", 10)
+    assert costs(reason.causal_costs(starts, edges)) == want
+    assert costs(reason.causal_costs(starts, edges.limit(0))) == sorted((r[0], r[0], 0.0) for r in starts.collect())
+
+
 @pytest.mark.parametrize("name", sorted(n for m in entry.CORE for n in m.QUERIES))
 def test_query_against_sql(spark, sf, name):
     duckdb = pytest.importorskip("duckdb")
