@@ -8,8 +8,8 @@ document's mixture as prior, give each sentence's subject, and the shares of sen
 
 Terms are numbered by a hash into ``BUCKETS``, so the matrix has a bound at every size of the corpus and no term
 is left out for being rare in a large one. Texts are read once into term numbers. Lines of program code are told
-from prose by a naive Bayes mixture over the words and marks of lines, learned by expectation-maximisation on the
-lines of at most ``CODE_TEXTS`` texts; a line of code is one sentence of one term.
+from prose by the mixture of :mod:`hyperspark.llm.code_lines` over the words and marks of lines, learned by
+expectation-maximisation on the lines of all texts; a line of code is one sentence of one term.
 
 Defined results: null, empty and blank texts have no subjects; repeated rows count once, the longest text of a
 key stays; sentences without any word of a subject are left out of the shares; labels that name no subject are
@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperspark.llm.code_lines import SENTENCE_END, learn_code, terms_of
-from hyperspark.plans.runtime import cut, hash_sample, ship
+from hyperspark.llm.code_lines import CODE_ROUNDS, CODE_SEEDS, CODE_SMOOTHING, CODE_START, MARK, SENTENCE_END, terms_of
+from hyperspark.plans.runtime import cut, ship
 
 #: Passes over the corpus, inner updates of a mixture, term numbers, documents that must hold a term number, weight
 #: of a subject given by hand against a stated domain, seeds' prior counts.
@@ -40,10 +40,12 @@ SEED_STRENGTH = 0.15
 SENTENCE_PRIOR = 0.6
 TIED = 0.4
 CACHE_WORDS = 300_000
-#: Texts whose lines the mixture of prose and code is learned from.
-CODE_TEXTS = 2000
 #: The number of a line of code; terms have higher ones.
 CODE_NUMBER = 0
+#: Added to the number of a term that its line had before.
+REPEATED = 1 << 24
+#: Whether an ASCII character is one of the marks that code is told by at first.
+IS_MARK = np.array([bool(MARK.match(chr(i))) for i in range(128)])
 
 
 def number_of(term: str) -> int:
@@ -51,16 +53,14 @@ def number_of(term: str) -> int:
 
 
 class Reader:
-    """Turns texts into the term numbers of their sentences; keeps the numbers of terms it has met."""
+    """Turns texts into the term numbers of their lines and sentences; keeps the numbers of terms it has met."""
 
-    def __init__(self, code: tuple[dict[str, float], float]):
-        self.code, self.prior = code
+    def __init__(self):
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {"\n": 0} | {x: 1 for x in SENTENCE_END}
         self.numbers = np.zeros(4096, np.int32)
-        self.odds = np.zeros(4096)
         self.used = 2
 
     def _ids(self, terms: list[str]) -> np.ndarray:
@@ -70,51 +70,54 @@ class Reader:
             i = self.known[term] = self.used
             self.used += 1
             if i >= len(self.numbers):
-                self.numbers, self.odds = np.concatenate([self.numbers, np.zeros_like(self.numbers)]), np.concatenate([self.odds, np.zeros_like(self.odds)])
-            self.numbers[i], self.odds[i] = number_of(term), self.code.get(term, 0.0)
+                self.numbers = np.concatenate([self.numbers, np.zeros_like(self.numbers)])
+            self.numbers[i] = number_of(term)
         return np.fromiter(map(self.known.__getitem__, terms), np.int64, len(terms))
 
-    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Term numbers of all texts end to end and their number in each text; sentence ends (within its text) and their number in each text."""
+    def read(self, texts: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+        """Term numbers of all texts, sentence ends and line ends (within their text), each end to end with their number in each text.
+
+        A term that its line had before has ``REPEATED`` added; the end of a line is doubled, plus 1 if its marks make it code at first.
+        """
         lists = [terms_of(t) + ["\n"] for t in texts]
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         ids = self._ids([t for x in lists for t in x])
         document = np.repeat(np.arange(len(texts)), lengths)
-        line = np.concatenate([[0], np.cumsum(ids == 0)[:-1]])
-        sentence = np.concatenate([[0], np.cumsum(ids < 2)[:-1]])
-        term = ids > 1
+        line = np.concatenate([[0], np.cumsum(ids == 0)])[:-1]
+        sentence = np.concatenate([[0], np.cumsum(ids < 2)])[:-1]
+        line_document, term = document[ids == 0], ids > 1
         document, line, sentence, ids = document[term], line[term], sentence[term], ids[term]
-        if not len(ids):
-            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
-        # A line counts each of its terms once, as in learning.
-        pairs = np.sort(line << 32 | ids)
-        pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
-        score = np.bincount(pairs >> 32, self.odds[pairs & 0xFFFFFFFF], int(line[-1]) + 1) + self.prior
-        numbers = self.numbers[ids].copy()
-        code = (score > 0)[line]
-        first = np.concatenate([[True], line[1:] != line[:-1]])
-        keep = ~code | first
-        numbers[code] = CODE_NUMBER
-        document, sentence, numbers = document[keep], sentence[keep], numbers[keep]
-        last = np.concatenate([sentence[1:] != sentence[:-1], [True]])
+        numbers = self.numbers[ids]
+        pairs = line << 32 | ids
+        order = np.argsort(pairs, kind="stable")
+        numbers[order[1:][pairs[order[1:]] == pairs[order[:-1]]]] += REPEATED
         n_terms = np.bincount(document, minlength=len(texts))
-        start = np.concatenate([[0], np.cumsum(n_terms)[:-1]])
+        start = np.cumsum(n_terms) - n_terms
+        last = np.concatenate([sentence[1:] != sentence[:-1], [True]])[: len(ids)]
         ends = np.flatnonzero(last) + 1 - start[document[last]]
-        return numbers, n_terms, ends, np.bincount(document[last], minlength=len(texts))
+        # Lines without terms are lines too unless they are blank.
+        joined = "".join(t + "\n" for t in texts)
+        written = np.array([bool(x.strip()) for x in joined.split("\n")[:-1]], bool)
+        characters = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
+        feeds = np.flatnonzero(characters == 10)
+        marks = np.diff(np.cumsum(IS_MARK[np.minimum(characters, 127)])[feeds], prepend=0)
+        marked = marks >= CODE_START * (np.diff(feeds, prepend=-1) - 1)
+        line_ends = np.cumsum(np.bincount(line, minlength=len(feeds))) - start[line_document]
+        lines = (line_ends * 2 + marked)[written]
+        return (numbers, n_terms), (ends, np.bincount(document[last], minlength=len(texts))), (lines, np.bincount(line_document[written], minlength=len(texts)))
 
 
 def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
-def _read(batches: Iterator[pa.RecordBatch], code) -> Iterator[pa.RecordBatch]:
-    """``(key, stated, n_words, terms, ends)``: term numbers of all sentences end to end, and where each sentence ends."""
-    reader = Reader(code.value)
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(key, stated, n_words, terms, ends, lines)``: what :meth:`Reader.read` gives of each text."""
+    reader = Reader()
     for batch in batches:
         texts = batch.column(2).to_pylist()
-        numbers, n_terms, ends, n_ends = reader.read(texts)
         words = pa.array([len(t.split()) for t in texts], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), words, _lists(numbers, n_terms), _lists(ends, n_ends)], ["key", "stated", "n_words", "terms", "ends"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), words, *[_lists(*x) for x in reader.read(texts)]], ["key", "stated", "n_words", "terms", "ends", "lines"])
 
 
 def _flat(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +126,87 @@ def _flat(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
     return values.flatten().to_numpy(zero_copy_only=False).astype(np.int64), lengths
 
 
+def _by_line(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Terms of the batch (``REPEATED`` taken off), the line of each, whether it is the first of its kind there, and whether each line is code by its marks."""
+    terms, lengths = _flat(batch, 2)
+    lines, n_lines = _flat(batch, 5)
+    stop = (lines >> 1) + np.repeat(np.cumsum(lengths) - lengths, n_lines)
+    return terms % REPEATED, np.searchsorted(stop, np.arange(len(terms)), side="right"), terms < REPEATED, (lines & 1).astype(float)
+
+
+def _few_odds(code: tuple[np.ndarray, float]) -> tuple[np.ndarray, np.ndarray, float]:
+    """What is sent of log odds: those of the term numbers met."""
+    there = np.flatnonzero(code[0])
+    return there.astype(np.int32), code[0][there].astype(np.float32), code[1]
+
+
+def _all_odds(few: tuple[np.ndarray, np.ndarray, float]) -> tuple[np.ndarray, float]:
+    odds = np.zeros(BUCKETS)
+    odds[few[0]] = few[1]
+    return odds, few[2]
+
+
+def _code_pass(batches: Iterator[pa.RecordBatch], code) -> Iterator[pa.RecordBatch]:
+    """Sums of the terms of lines, weighted by the probabilities of code and of prose; at 0 those of the lines."""
+    sums = np.zeros((2, BUCKETS))
+    odds, prior = (None, 0.0) if code is None else _all_odds(code.value)
+    for batch in batches:
+        terms, line, first, likely = _by_line(batch)
+        terms, line = terms[first], line[first]
+        if odds is not None:
+            likely = 1 / (1 + np.exp(-np.clip(prior + np.bincount(line, odds[terms], len(likely)), -30, 30)))
+        for held, weights in zip(sums, (likely, 1 - likely)):
+            held += np.bincount(terms, weights[line], BUCKETS)
+            held[CODE_NUMBER] += weights.sum()
+    there = np.flatnonzero(sums.any(0))
+    yield _sums(there, sums[:, there].T)
+
+
+def learn_code_of_all(read: DataFrame) -> tuple[np.ndarray, float]:
+    """Log odds of term numbers in lines of program code against prose, and of code itself: ``code_lines.learn_code`` over all rows of ``read``.
+
+    ``read (key, n_words, terms, ends, seeds, lines)``; a round is one pass over the rows, at most ``BUCKETS`` sums reach the driver.
+    """
+    context, code = read.sparkSession.sparkContext, None
+    given = np.bincount([number_of(t) for x in CODE_SEEDS for t in set(terms_of(x)) - SENTENCE_END], minlength=BUCKETS)
+    for _ in range(CODE_ROUNDS):
+        shared = None if code is None else context.broadcast(_few_odds(code))
+        terms, values = _gathered(read.mapInArrow(lambda batches, shared=shared: _code_pass(batches, shared), "term int, c0 double, c1 double"))
+        if shared is not None:
+            shared.destroy()
+        held = np.zeros((2, BUCKETS))
+        held[:, terms] = values.T
+        lines = held[:, CODE_NUMBER] + [len(CODE_SEEDS), 0]
+        held[:, CODE_NUMBER] = 0.0
+        held[0] += given
+        seen = held.any(0)
+        rates = (held + CODE_SMOOTHING) / (held.sum(1, keepdims=True) + CODE_SMOOTHING * seen.sum())
+        code = np.where(seen, np.log(rates[0] / rates[1]), 0.0), float(np.log((lines[0] + 1) / (lines[1] + 1)))
+    return code
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], code) -> Iterator[pa.RecordBatch]:
+    """``(key, n_words, terms, ends, seeds)``: term numbers of all sentences end to end, a line of code as one term, and where each sentence ends."""
+    odds, prior = _all_odds(code.value)
+    for batch in batches:
+        terms, line, once, marked = _by_line(batch)
+        lengths = _flat(batch, 2)[1]
+        ends, n_ends = _flat(batch, 3)
+        start, n = np.cumsum(lengths) - lengths, len(lengths)
+        document = np.repeat(np.arange(n), lengths)
+        sentence = np.searchsorted(ends + np.repeat(start, n_ends), np.arange(len(terms)), side="right")
+        # A line counts each of its terms once, as in learning.
+        code_line = np.bincount(line[once], odds[terms[once]], len(marked)) + prior > 0
+        within = code_line[line]
+        first = np.concatenate([[True], line[1:] != line[:-1]])[: len(line)]
+        keep = ~within | first
+        document, sentence, numbers = document[keep], sentence[keep], np.where(within, CODE_NUMBER, terms)[keep]
+        last = np.concatenate([sentence[1:] != sentence[:-1], [True]])[: len(sentence)]
+        n_terms = np.bincount(document, minlength=n)
+        stops = np.flatnonzero(last) + 1 - (np.cumsum(n_terms) - n_terms)[document[last]]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(numbers, n_terms), _lists(stops, np.bincount(document[last], minlength=n)), batch.column(4)], ["key", "n_words", "terms", "ends", "seeds"])
+
+
 class Model:
     """Components of the term numbers that count: ``numbers`` ascending, ``rows`` (terms × components).
 
@@ -279,16 +363,17 @@ def subject_shares(documents: DataFrame, subjects: DataFrame, labels: DataFrame
     domain = F.lower(F.trim(F.col(stated))) if stated else F.lit(None).cast("string")
     texts = documents.where(F.col(key).isNotNull() & (F.trim(F.col(text)) != "")).select(F.col(key).cast("long").alias("key"), domain.alias("stated"), F.col(text).alias("text"))
     context = spark.sparkContext
-    code = context.broadcast(learn_code([r["text"] for r in hash_sample(texts.select("text"), "text", CODE_TEXTS, seed=5).collect()]))
-    read = texts.mapInArrow(lambda batches: _read(batches, code), "key bigint, stated string, n_words bigint, terms array<int>, ends array<int>")
-    rows = read.groupBy("key").agg(F.max(F.struct("n_words", F.size("terms").alias("size"), "terms", "ends")).alias("r"), F.max("stated").alias("stated")).select("key", "r.n_words", "r.terms", "r.ends", "stated")
+    read = texts.mapInArrow(_read, "key bigint, stated string, n_words bigint, terms array<int>, ends array<int>, lines array<int>")
+    rows = read.groupBy("key").agg(F.max(F.struct("n_words", F.size("terms").alias("size"), "terms", "ends", "lines")).alias("r"), F.max("stated").alias("stated")).select("key", "r.n_words", "r.terms", "r.ends", "r.lines", "stated")
     if labels is not None:
         hand = labels.where("subject is not null").groupBy(F.col(key).cast("long").alias("key")).agg(F.collect_set(F.lower(F.trim("subject"))).alias("hand"))
         rows = rows.join(hand, "key", "left")
     else:
         rows = rows.withColumn("hand", F.lit(None).cast("array<string>"))
     seed = F.array(*[F.when(F.size("hand") > 0, F.array_contains("hand", s).cast("double") * HAND_WEIGHT / F.size("hand")).otherwise(F.coalesce((F.col("stated") == s).cast("double"), F.lit(0.0))) for s in names])
-    encoded = cut(rows.select("key", "n_words", "terms", "ends", seed.alias("seeds")))
+    by_line = cut(rows.select("key", "n_words", "terms", "ends", seed.alias("seeds"), "lines"))
+    code = context.broadcast(_few_odds(learn_code_of_all(by_line)))
+    encoded = cut(by_line.mapInArrow(lambda batches: _encoded(batches, code), "key bigint, n_words bigint, terms array<int>, ends array<int>, seeds array<double>"))
 
     def columns(n: int) -> str:
         return ", ".join(["term int", *[f"c{j} double" for j in range(n)]])

@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from hyperspark.llm import cooccur, knn, language, mixing, queries, reading, splits, subjects, truncation
+from hyperspark.llm import code_lines, cooccur, knn, language, mixing, queries, reading, splits, subjects, truncation
 from hyperspark.plans.runtime import table
 
 
@@ -262,6 +262,22 @@ def clustered(n, seed=0):
     return centres[rng.integers(len(centres), size=n)] + 0.4 * rng.normal(size=(n, 384))
 
 
+def test_lines_of_code_are_learned_from_all_texts(spark):
+    # Each text has words of its own that only its own lines tell to be code.
+    n = 2600
+    texts = ["Der alte Baum steht dort.\n\n12\n" + f"The cat sat on mat {'abc'[i % 3]}.\n" * 20 + f"w{'abcdefghij'[i % 10]}x{chr(97 + i // 10 % 26)}{chr(97 + i // 260)}q ( ) ;\n" * 8 + f"w{'abcdefghij'[i % 10]}x{chr(97 + i // 10 % 26)}{chr(97 + i // 260)}q" for i in range(n)]
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "conv_id long, plain_text string, domain_detected string")
+    found = rows(subjects.subject_shares(df, spark.createDataFrame([("code",), ("law",)], "subject string")).where("subject = 'code'").select("conv_id", "n_sentences", "share"))
+    assert len(found) == n and {round(r[1] * r[2]) for r in found} == {9}
+
+    some = texts[:40] + ["for (i = 0; i < n; i++) { total += i }\nIt rains. It pours!", "", "日本語の文。\nx = [1]"]
+    read = spark.createDataFrame([(i, t, t) for i, t in enumerate(some)], "key long, stated string, text string").mapInArrow(subjects._read, "key bigint, stated string, n_words bigint, terms array<int>, ends array<int>, lines array<int>")
+    odds, prior = subjects.learn_code_of_all(read.select("key", "n_words", "terms", "ends", F.array(F.lit(0.0)).alias("seeds"), "lines"))
+    want, prior_wanted = code_lines.learn_code(some)
+    assert len(want) > 60 and abs(prior - prior_wanted) < 1e-3
+    assert all(abs(odds[subjects.number_of(t)] - x) < 1e-3 for t, x in want.items())
+
+
 def test_nearest_recall_against_brute_force(spark):
     x = clustered(3000).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist(), None) for i, v in enumerate(x)], "id long, vec array<float>, views array<array<float>>")
